@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graftwork.llm import langid, secrets, tokens
+from graftwork.llm import langid, secrets, tokens, toxicity
 from graftwork.storage import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_language_id, op8_secret_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op7_language_id, op8_secret_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
