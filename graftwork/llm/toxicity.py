@@ -19,9 +19,9 @@ however many landmarks there are.
 
 A document's evidence is the sum, over its distinct words that are decided
 positive, of the log-odds with which decisions of that height occur in toxic
-and in clean documents that the machine did not see where that is above 1, less what clean texts gather
-by chance for each word (the 90th percentile of them); the threshold is the sum that at most
-`false_alarms` of those clean ones pass.
+and in clean documents that the machine did not see where that is above 1, over one plus
+what clean texts of its length gather by chance (the 90th percentile of their
+sums a word, times its words); the threshold is what at most `false_alarms` of those clean ones pass.
 
 Defined results: null and empty texts, and texts without letters, are never
 toxic; texts of any length are scored whole; repeated rows are judged each; a
@@ -46,14 +46,15 @@ from graftwork.llm.batches import raw, slices
 from graftwork.llm.langid import sample
 
 SPAN, DECAY = 6, 0.7
-LABELLED = 3000
+LABELLED = 2000
 LANDMARKS = 512
 #: Clean words that training takes, those most like the landmarks.
-HARD = 15_000
+HARD = 10_000
 FALSE_ALARMS = 0.001
 #: Costs of errors: of all, of positives together against negatives together, of a virtual example.
 COST, BALANCE, VIRTUAL = 10.0, 0.2, 0.7
-EDGES = np.array([0.15, 0.3, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0])
+#: Edges of the bins of decisions, and the least evidence for a toxic text.
+EDGES, LEAST_EVIDENCE = np.array([0.15, 0.3, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0]), 1.0
 #: Subsequences of positions (i, i + a, i + b, i + c).
 GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 #: Symbols of letters are below 2 ** SYMBOL_BITS.
@@ -216,25 +217,29 @@ class Model:
         self._threshold([texts[i] for i in held], np.array([toxic[i] for i in held]), false_alarms)
 
     def _machine(self, texts: list[str], toxic: list[int], most: int) -> None:
-        letters = Letters(pa.array(texts, pa.large_string()), self.table)
-        words, row = np.array(letters.strings(), object), letters.row
-        seen, inverse = np.unique(words.astype(str), return_inverse=True)
-        docs = np.unique(np.stack([row, inverse], 1), axis=0)
-        bad = np.array(toxic)[docs[:, 0]] == 1
-        pos, neg = np.bincount(docs[bad, 1], minlength=len(seen)), np.bincount(docs[~bad, 1], minlength=len(seen))
+        counts: dict[str, list[int]] = {}
+        for at, letters in self._parts(texts):
+            own, inverse = np.unique(np.array(letters.strings(), str), return_inverse=True)
+            docs = np.unique(np.stack([letters.row, inverse], 1), axis=0)
+            bad = np.array(toxic[at : at + int(letters.row.max(initial=0)) + 1] or [0])[docs[:, 0]] == 1
+            for w, p, n in zip(own.tolist(), np.bincount(docs[bad, 1], minlength=len(own)).tolist(), np.bincount(docs[~bad, 1], minlength=len(own)).tolist()):
+                c = counts.setdefault(w, [0, 0])
+                c[0] += p
+                c[1] += n
+        seen = np.array(sorted(counts), str)
+        pos, neg = (np.array([counts[w][i] for w in seen.tolist()], np.int64) for i in (0, 1))
+        del counts
         n_pos, n_neg = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         odds = ((pos + 0.1) / n_pos) / ((neg + 0.5) / n_neg)
         long = np.char.str_len(seen) >= 4
         witness = long & (pos >= 2) & (odds >= 8) & (pos * np.log(odds) > 8)
         rank = np.argsort(-(pos * np.log(np.maximum(odds, 1e-9))) * witness, kind="stable")
         marks = rank[: min(most // 3, int(witness.sum()))]
-        units = Letters(pa.array(["\n".join(seen.tolist())], pa.large_string()), self.table)
-        if len(units.first) != len(seen):  # words that join anew side by side
-            units = Letters(pa.array(seen.tolist(), pa.large_string()), self.table)
         if not len(marks):
             self.weights, self.bias, self.landmarks = np.zeros(CODES, np.float32), -1.0, []
             return
-        like = units.kernel([self._mark(seen[j]) for j in marks]).max(1)
+        first = [self._mark(seen[j]) for j in marks]
+        like = np.concatenate([Letters(pa.array(part.tolist(), pa.large_string()), self.table).kernel(first).max(1) for part in np.array_split(seen, len(seen) // 10_000 + 1)])
         # training keeps the witnesses and the clean words most like them; the first of those are landmarks too
         hard = np.argsort(-(like * ~witness), kind="stable")[:HARD]
         kept = np.sort(np.concatenate([np.flatnonzero(witness), hard]))
@@ -263,6 +268,13 @@ class Model:
             self.weights[list(column)] += a * np.array(list(column.values()), np.float32)
         self.bias, self.landmarks = b, names.tolist()
 
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, Letters]]:
+        """The texts in slices of bounded size: the first one's number, and their words."""
+        at = 0
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), most=1_000_000):
+            yield at, Letters(part.column(0), self.table)
+            at += part.num_rows
+
     def _inserted(self, words: list[str]) -> list[str]:
         """Virtual examples: each word with one character doubled or put in, at every place within."""
         return [w[:i] + c + w[i:] for w in words for i in range(1, len(w)) for c in (w[i], "x")]
@@ -280,19 +292,26 @@ class Model:
         letters = Letters(texts, self.table)
         return letters, letters.fold(self.weights) + self.bias
 
-    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Letters, np.ndarray]:
-        """Row and decision of each distinct word of a text that is decided positive; the words, and all decisions."""
-        letters, f = self.words(texts)
+    def _all_hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, found, words = [], [], np.zeros(len(texts))
+        for at, letters in self._parts(texts):
+            row, f = self._distinct(letters, letters.fold(self.weights) + self.bias)
+            rows.append(row + at)
+            found.append(f)
+            words += np.bincount(letters.row + at, minlength=len(texts))
+        return np.concatenate(rows), np.concatenate(found), words
+
+    @staticmethod
+    def _distinct(letters: Letters, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and decision of each distinct word of a text that is decided positive; words of equal decisions and lengths count as one."""
         hit = np.flatnonzero(f > 0)
-        # two words of a text with equal decisions and lengths count as one
         size = np.diff(np.concatenate([letters.first, [len(letters.symbol)]]))
         one = np.unique(np.stack([letters.row[hit], size[hit], f[hit].view(np.int64)], 1), axis=0)
-        return one[:, 0], np.ascontiguousarray(one[:, 2]).view(np.float64), letters, f
+        return one[:, 0], np.ascontiguousarray(one[:, 2]).view(np.float64)
 
     def _threshold(self, texts: list[str], toxic: np.ndarray, false_alarms: float) -> None:
         """Evidence of a decision: log-odds of its height among words of toxic against clean texts, made monotone."""
-        row, f, letters, _ = self.hits(pa.array(texts, pa.large_string()))
-        words = np.bincount(letters.row, minlength=len(texts))
+        row, f, words = self._all_hits(texts)
         of, bad = np.digitize(f, EDGES), toxic[row] == 1
         pos, neg = np.bincount(of[bad], minlength=len(EDGES) + 1) + 0.5, np.bincount(of[~bad], minlength=len(EDGES) + 1) + 0.5
         odds = np.log(pos / max(1, words[toxic == 1].sum())) - np.log(neg / max(1, words[toxic == 0].sum()))
@@ -300,21 +319,22 @@ class Model:
         self.expected = 0.0
         some = (toxic == 0) & (words > 0)
         if some.any():  # what a long clean text gathers by chance, in the languages where that is most
-            self.expected = float(np.quantile(self._sum(row, f, letters, len(texts))[some] / words[some], 0.9))
-        clean = self._sum(row, f, letters, len(texts))[toxic == 0]
+            self.expected = float(np.quantile(self._sum(row, f, words)[some] / words[some], 0.9))
+        clean = self._sum(row, f, words)[toxic == 0]
         if len(clean):
-            self.limit = max(float(np.quantile(clean, 1 - false_alarms)), 2.0)
+            self.limit = max(float(np.quantile(clean, 1 - false_alarms)), LEAST_EVIDENCE)
 
-    def _sum(self, row: np.ndarray, f: np.ndarray, letters: Letters, n: int) -> np.ndarray:
-        return np.bincount(row, self.evidence[np.digitize(f, EDGES)], n) - self.expected * np.bincount(letters.row, minlength=n)
+    def _sum(self, row: np.ndarray, f: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return np.bincount(row, self.evidence[np.digitize(f, EDGES)], len(words)) / (1 + self.expected * words)
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By text: the logistic of its evidence above the limit, whether toxic, and sentences with an insult."""
-        row, f, letters, all_f = self.hits(texts)
-        total = self._sum(row, f, letters, len(texts))
+        """By text: its evidence as a share of that and the limit, so 0.5 at the limit; whether toxic; and sentences with an insult."""
+        letters, all_f = self.words(texts)
+        row, f = self._distinct(letters, all_f)
+        total = self._sum(row, f, np.bincount(letters.row, minlength=len(texts)))
         hit = all_f > 0
         some = np.unique(np.stack([letters.sentence[hit], letters.row[hit]], 1), axis=0)[:, 1]
-        return 1 / (1 + np.exp(np.clip(self.limit - total, -700, 700))), total > self.limit, np.bincount(some, minlength=len(texts))
+        return total / (total + min(self.limit, 1e300)), total > self.limit, np.bincount(some, minlength=len(texts))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model | None:
@@ -331,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def detect(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
-    """doc_id, toxicity (a probability) and toxic_sentences of the toxic rows; of all rows, with a column toxic, on request."""
+    """doc_id, toxicity (from 0 to 1, above 0.5 if toxic) and toxic_sentences of the toxic rows; of all rows, with a column toxic, on request."""
     model = model or train(docs, labels, id_col, text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
