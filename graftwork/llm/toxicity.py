@@ -47,9 +47,11 @@ from graftwork.llm.langid import sample
 
 SPAN, DECAY = 6, 0.7
 LABELLED = 2000
-LANDMARKS = 512
+LANDMARKS = 448
+#: Words of more letters take no part in training.
+LONGEST = 40
 #: Clean words that training takes, those most like the landmarks.
-HARD = 10_000
+HARD = 8_000
 FALSE_ALARMS = 0.001
 #: Costs of errors: of all, of positives together against negatives together, of a virtual example.
 COST, BALANCE, VIRTUAL = 10.0, 0.2, 0.7
@@ -219,8 +221,10 @@ class Model:
     def _machine(self, texts: list[str], toxic: list[int], most: int) -> None:
         counts: dict[str, list[int]] = {}
         for at, letters in self._parts(texts):
-            own, inverse = np.unique(np.array(letters.strings(), str), return_inverse=True)
-            docs = np.unique(np.stack([letters.row, inverse], 1), axis=0)
+            words = letters.strings()
+            fit = np.array([len(w) <= LONGEST for w in words], bool)
+            own, inverse = np.unique(np.array([w for w in words if len(w) <= LONGEST], str), return_inverse=True)
+            docs = np.unique(np.stack([letters.row[fit], inverse], 1), axis=0)
             bad = np.array(toxic[at : at + int(letters.row.max(initial=0)) + 1] or [0])[docs[:, 0]] == 1
             for w, p, n in zip(own.tolist(), np.bincount(docs[bad, 1], minlength=len(own)).tolist(), np.bincount(docs[~bad, 1], minlength=len(own)).tolist()):
                 c = counts.setdefault(w, [0, 0])
@@ -228,7 +232,7 @@ class Model:
                 c[1] += n
         seen = np.array(sorted(counts), str)
         pos, neg = (np.array([counts[w][i] for w in seen.tolist()], np.int64) for i in (0, 1))
-        del counts
+        counts.clear()
         n_pos, n_neg = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         odds = ((pos + 0.1) / n_pos) / ((neg + 0.5) / n_neg)
         long = np.char.str_len(seen) >= 4
