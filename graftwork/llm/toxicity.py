@@ -7,7 +7,7 @@ of them. Words are compared in lower case, without accents, after letters that s
 two letters that only punctuation separates ("id-iot", "i.d.i.o.t").
 
 Training takes a bounded sample of labelled documents (at most `labelled` of
-each label, those with the smallest hash). Its sentences carry their document's label; as
+each label, those whose ids have the smallest hash). Its sentences carry their document's label; as
 most sentences of a toxic document hold no insult, the machine learns from
 bags: the words of clean sentences are negative, and of toxic sentences those
 that witness the label (at first by their document counts, then by the machine itself) are
@@ -32,6 +32,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -39,11 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftwork.llm.batches import raw, slices
-from graftwork.llm.langid import sample
 
 SPAN, DECAY = 6, 0.7
 LABELLED = 2000
@@ -342,16 +342,24 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model | None:
+    """Fits the model in one task, on a sample that is chosen among the labels, so that no other text is moved."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.max("y").cast("string").alias("lang"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = sample(own.join(known, "doc_id"), labelled)
-    if len({lang for lang, *_ in rows}) < 2:
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    some = own.join(F.broadcast(known.where(F.col("r") <= labelled)), "doc_id").select("y", "r", "text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(r["y"], r["r"]): r["text"] for b in batches for r in sorted(b.to_pylist(), key=lambda r: r["text"])}.items())
+        if len({y for (y, _), _ in rows}) == 2:
+            model = Model([t for _, t in rows], [y for (y, _), _ in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], names=["model"])
+
+    found = some.repartition(1).mapInArrow(fit, "model binary").collect()
+    if not found:
         return None
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    # in turn of rank, so that both labels spread over both parts
-    clean, bad = [t for y, _, t in rows if y == "0"], [t for y, _, t in rows if y == "1"]
-    return Model(clean + bad, [0] * len(clean) + [1] * len(bad))
+    model = Model.__new__(Model)
+    model.__dict__.update(pickle.loads(found[0].model))
+    return model
 
 
 def detect(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", all_rows: bool = False) -> DataFrame:
