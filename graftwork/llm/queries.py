@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graftwork.llm import decontaminate, langid, secrets, tokens, toxicity
+from graftwork.llm import decontaminate, langid, neardup, secrets, tokens, toxicity
 from graftwork.storage import table
 
 
@@ -26,12 +26,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_decontamination, op7_language_id, op8_secret_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op4_decontamination, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
