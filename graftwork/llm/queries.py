@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graftwork.llm import decontaminate, langid, neardup, secrets, tokens, toxicity
+from graftwork.llm import decontaminate, embeddup, langid, mixing, neardup, secrets, tokens, toxicity
 from graftwork.storage import table
 
 
@@ -14,10 +14,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -35,8 +43,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_decontamination, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op3_embedding_near_dedup, op4_decontamination, op5_source_mixing, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_embedding_near_dedup": """
+            SELECT vec_a, vec_b, round(max(c), 3) AS similarity
+            FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
+                  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+            WHERE c >= 0.95 GROUP BY ALL""",
+    }
