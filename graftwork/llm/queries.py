@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graftwork.llm import decontaminate, embeddup, langid, mixing, neardup, secrets, tokens, toxicity
-from graftwork.storage import table
+from graftwork.llm import decontaminate, embeddup, langid, mixing, neardup, secrets, tokens, toxicity, warc
+from graftwork.storage import new_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_pairs(table(spark, sf_dir, "embeddings"))
 
@@ -43,11 +47,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_embedding_near_dedup, op4_decontamination, op5_source_mixing, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc_source, op3_embedding_near_dedup, op4_decontamination, op5_source_mixing, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_source": "SELECT page_id, url, 200::BIGINT AS http_status, strlen(html)::BIGINT AS bytes, md5(html) AS md5 FROM pages",
         "op3_embedding_near_dedup": """
             SELECT vec_a, vec_b, round(max(c), 3) AS similarity
             FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
