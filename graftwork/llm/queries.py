@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graftwork.llm import decontaminate, embeddup, langid, mixing, neardup, secrets, tokens, toxicity, warc
+from graftwork.llm import decontaminate, embeddup, langid, lm, mixing, neardup, secrets, tokens, toxicity, warc
 from graftwork.storage import new_path, table
 
 
@@ -30,6 +30,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc_source, op3_embedding_near_dedup, op4_decontamination, op5_source_mixing, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc_source, op3_embedding_near_dedup, op4_decontamination, op5_source_mixing, op6_lm_scoring, op7_language_id, op8_secret_scan, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
