@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from graftwork.plans import analytics, snapshots
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in (snapshots, analytics) for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return snapshots.SQL | analytics.SQL
 
 
 def flagship(spark, sf_dir):
