@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftwork.storage import cut
+
 MAX_DEPTH = 5
 
 
@@ -39,15 +41,16 @@ def blast_radius(roots: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) ->
     """(root, node, depth) for all transitive callers of roots(root) within `depth` calls, by edges(callee, caller).
 
     Breadth first: each step joins the frontier with the edges and drops pairs
-    seen before, so cycles end and a pair has its least depth.
+    seen before, so cycles end and a pair has its least depth. Edges and each
+    frontier are written tables, so that no step repeats the ones before it.
     """
-    edges = edges.select("callee", "caller").distinct()
-    seen = [roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth"))]
+    edges = cut(edges.select("callee", "caller").distinct(), "call-edges")
+    seen = [cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")), "frontier")]
     frontier = seen[0]
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["callee"]).select("root", F.col("caller").alias("node")).distinct()
         before = reduce(DataFrame.union, seen).select("root", "node")
-        frontier = step.join(before, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long"))
+        frontier = cut(step.join(before, ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "frontier")
         seen.append(frontier)
     return reduce(DataFrame.union, seen[1:])
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from graftwork.plans import analytics, snapshots
+from graftwork.plans import analytics, snapshots, sources
+from graftwork.plans.sources import flagship
+
+_MODULES = (sources, snapshots, analytics)
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
-    return {f.__name__: f for m in (snapshots, analytics) for f in m.QUERIES}
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return snapshots.SQL | analytics.SQL
-
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
