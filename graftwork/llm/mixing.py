@@ -10,7 +10,7 @@ many tokens as there are.
 A source's documents fall into blocks by a hash; a block's place in an epoch's
 permutation is another hash of it and the epoch. A budget takes whole epochs, then, of one
 more, the blocks in that order that fit, and of the block that the budget's end falls in the
-documents in the order of a hash until it is used up. So only one number for each
+documents in the order of a hash until one exceeds it (so a source of one document longer than its budget has no rows). So only one number for each
 block is accumulated, however large a source, and within one block of each source
 one for each document; no text moves. `position` in [0, 1) interleaves the
 sources evenly: sorting by it gives the mixed order.
@@ -108,25 +108,28 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     inner = inner.withColumn("before", F.sum("n").over(Window.partitionBy("of").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
     limits = inner.where(F.col("before") + F.col("n") <= F.col("room")).groupBy("of").agg(F.max("order").alias("limit"))
     known = known.join(limits.withColumnRenamed("of", "of_l"), F.col("of").eqNullSafe(F.col("of_l")), "left")
-    known = cut(known.select(F.struct("of", "epochs", "full", "border", "limit", (F.col("whole") / F.col("budget")).alias("share")).alias("_p")), "sources")
+    own = "_p"  # begins the names of our own columns beside the caller's
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    known = cut(known.select(F.struct("of", "epochs", "full", "border", "limit", (F.col("whole") / F.col("budget")).alias("share")).alias(own)), "sources")
     source, i, t = docs[source_col].cast("string"), key_id(docs[id_col]), key_text(docs[text_col])
     block = F.pmod(_hash(F.lit(seed), i, t), F.lit(blocks)).cast("int")
-    rows = docs.where(docs[text_col].rlike(r"\S")).join(_few(known, len(budgets)), source.eqNullSafe(F.col("_p.of")))
-    turn = F.struct(_hash(F.lit(seed + 2), source, block, F.col("_p.epochs")).alias("h"), block.alias("block"))
-    last = F.coalesce(turn <= F.col("_p.full"), F.lit(False)) | F.coalesce((turn == F.col("_p.border")) & (_hash(F.lit(seed + 1), i, t) <= F.col("_p.limit")), F.lit(False))
-    times = F.col("_p.epochs") + F.when(last, 1).otherwise(0)
+    rows = docs.where(docs[text_col].rlike(r"\S")).join(_few(known, len(budgets)), source.eqNullSafe(F.col(f"{own}.of")))
+    turn = F.struct(_hash(F.lit(seed + 2), source, block, F.col(f"{own}.epochs")).alias("h"), block.alias("block"))
+    last = F.coalesce(turn <= F.col(f"{own}.full"), F.lit(False)) | F.coalesce((turn == F.col(f"{own}.border")) & (_hash(F.lit(seed + 1), i, t) <= F.col(f"{own}.limit")), F.lit(False))
+    times = F.col(f"{own}.epochs") + F.when(last, 1).otherwise(0)
     names = docs.columns
     added = []
     for name in ("epoch", "block", "position"):
         while name in {*names, *added}:
             name += "_"
         added.append(name)
-    rows = rows.where(times > 0).select(*(docs[c] for c in names), block.alias(added[1]), i.alias("_i"), t.alias("_t"), source.alias("_s"), F.col("_p.share").alias("_share"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias(added[0]))
+    rows = rows.where(times > 0).select(*(docs[c] for c in names), block.alias(added[1]), i.alias(own + "_i"), t.alias(own + "_t"), source.alias(own + "_s"), F.col(f"{own}.share").alias(own + "_share"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias(added[0]))
     # a place in the epoch for each block, then within it for each document
-    place = _unit(_hash(F.lit(seed + 2), F.col("_s"), F.col(added[1]), F.col(added[0])))
-    within = _unit(_hash(F.lit(seed + 3), F.col("_i"), F.col("_t"), F.col(added[0]))) / blocks
+    place = _unit(_hash(F.lit(seed + 2), F.col(own + "_s"), F.col(added[1]), F.col(added[0])))
+    within = _unit(_hash(F.lit(seed + 3), F.col(own + "_i"), F.col(own + "_t"), F.col(added[0]))) / blocks
     top = F.lit(1 - 1e-12)
-    position = F.least((F.col(added[0]) + F.least(place + within, top)) * F.col("_share"), top)
+    position = F.least((F.col(added[0]) + F.least(place + within, top)) * F.col(own + "_share"), top)
     return rows.select(*names, F.col(added[0]), F.col(added[1]), position.alias(added[2]))
 
 
