@@ -9,6 +9,7 @@ aggregates. A file that can't be parsed on one side counts as missing there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,21 +42,40 @@ def _tree(text: object, lang: object, logic_only: bool, limits: Limits) -> tuple
         return None, str(e)
 
 
-def _kernel(df: DataFrame, each, schema: str) -> DataFrame:
-    """Runs each(row) -> rows over batches, without a shuffle."""
+#: Trees of texts up to so many characters are kept, so many of them, by each task: versions of small files repeat.
+SHORT, KEPT = 2_000, 4_096
+#: Inputs below so many bytes for each core are spread over all cores first, as parsing costs far more than their shuffle; larger ones stay in their splits.
+SMALL = 8 << 20
+
+
+def _parser(logic_only: bool, limits: Limits):
+    short = lru_cache(KEPT)(lambda text, lang: _tree(text, lang, logic_only, limits))
+    return lambda text, lang: short(text, lang) if isinstance(text, str) and len(text) <= SHORT else _tree(text, lang, logic_only, limits)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
+def _kernel(df: DataFrame, each, schema: str, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
+    """Runs each(row, tree) -> rows over batches; tree parses a text. Without a shuffle, except for small inputs."""
     names = [f.split()[0] for f in _fields(schema)]
+    limits = limits or Limits()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = _parser(logic_only, limits)
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
-                out += each(row)
+                out += each(row, tree)
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    return df.mapInPandas(run, schema)
+    return _spread(df).mapInPandas(run, schema)
 
 
 def _fields(schema: str) -> list[str]:
@@ -70,10 +90,9 @@ def _fields(schema: str) -> list[str]:
 
 def nodes(files: DataFrame, id_col: str, text_col: str, lang: str | Column, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
     """All nodes of all texts, in pre-order by node_id. Null texts have no rows; one that exceeds the limits has a row with the error."""
-    limits = limits or Limits()
 
-    def each(row) -> list[tuple]:
-        root, error = _tree(row.text, row.lang, logic_only, limits)
+    def each(row, tree) -> list[tuple]:
+        root, error = tree(row.text, row.lang)
         if error:
             return [(row.id, *[None] * 18, error)]
         out = []
@@ -85,7 +104,7 @@ def nodes(files: DataFrame, id_col: str, text_col: str, lang: str | Column, logi
         return out
 
     language = F.lit(lang) if isinstance(lang, str) else lang
-    return _kernel(files.select(files[id_col].cast("string").alias("id"), files[text_col].alias("text"), language.alias("lang")), each, NODES)
+    return _kernel(files.select(files[id_col].cast("string").alias("id"), files[text_col].alias("text"), language.alias("lang")), each, NODES, logic_only, limits)
 
 
 def _changed(pairs: DataFrame) -> DataFrame:
@@ -95,14 +114,13 @@ def _changed(pairs: DataFrame) -> DataFrame:
 
 def file_diffs(pairs: DataFrame, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
     """A row for each changed file: operations, patterns, violations of guards."""
-    limits = limits or Limits()
 
-    def each(row) -> list[tuple]:
-        (a, e), (b, f) = _tree(row.old_text, row.lang, logic_only, limits), _tree(row.new_text, row.lang, logic_only, limits)
+    def each(row, tree) -> list[tuple]:
+        (a, e), (b, f) = tree(row.old_text, row.lang), tree(row.new_text, row.lang)
         ops = diff(a, b)
         return [(row.commit, row.file_path, ops, facts.patterns(ops, a, b), facts.violations(row.file_path, a, b) if a and b else [], e or f)]
 
-    return _kernel(_changed(pairs), each, FILES)
+    return _kernel(_changed(pairs), each, FILES, logic_only, limits)
 
 
 def operations(diffs: DataFrame) -> DataFrame:
@@ -132,16 +150,15 @@ def by_commit(pairs: DataFrame, events: bool, logic_only: bool = False, limits:
 
 def functions_and_calls(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Definitions and calls of files (commit, file_path, lang, text)."""
-    limits = limits or Limits()
 
-    def each(row) -> list[tuple]:
-        root, _ = _tree(row.text, row.lang, False, limits)
+    def each(row, tree) -> list[tuple]:
+        root, _ = tree(row.text, row.lang)
         if root is None:
             return []
         defined, calls = facts.functions_and_calls(root)
         return [(row.commit, row.file_path, "definition", n, None, k, r) for n, k, r in defined] + [(row.commit, row.file_path, "call", n, t, None, r) for n, t, r in calls]
 
-    return _kernel(files.where(files["lang"].isin(*LANGUAGES)).select("commit", "file_path", "lang", "text"), each, FUNCTIONS)
+    return _kernel(files.where(files["lang"].isin(*LANGUAGES)).select("commit", "file_path", "lang", "text"), each, FUNCTIONS, False, limits)
 
 
 def blast_radius(found: DataFrame, changed: DataFrame, depth: int = trees.MAX_DEPTH) -> DataFrame:
@@ -182,10 +199,9 @@ def changed_symbols(ops: DataFrame) -> DataFrame:
 
 def function_flows(pairs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Data flow and types of each function against the first of its name in the new version of the file."""
-    limits = limits or Limits()
 
-    def each(row) -> list[tuple]:
-        a, b = _tree(row.old_text, row.lang, False, limits)[0], _tree(row.new_text, row.lang, False, limits)[0]
+    def each(row, tree) -> list[tuple]:
+        a, b = tree(row.old_text, row.lang)[0], tree(row.new_text, row.lang)[0]
         if a is None or b is None:
             return []
         from graftwork.engine.diff import FUNCTIONS as kinds
@@ -197,7 +213,7 @@ def function_flows(pairs: DataFrame, limits: Limits | None = None) -> DataFrame:
                 now.setdefault(name_of(n), n)
         return [(row.commit, row.file_path, name, *facts.data_flow(n, now[name]).values(), facts.type_refactor(n, now[name])) for n in a.walk() if n.kind in kinds and (name := name_of(n)) in now]
 
-    return _kernel(pairs.where(pairs["lang"].isin(*LANGUAGES)).select("commit", "file_path", "lang", "old_text", "new_text"), each, FLOWS)
+    return _kernel(pairs.where(pairs["lang"].isin(*LANGUAGES)).select("commit", "file_path", "lang", "old_text", "new_text"), each, FLOWS, False, limits)
 
 
 def summary(diffs: DataFrame) -> DataFrame:
@@ -236,7 +252,7 @@ def _labels(ops: DataFrame) -> DataFrame:
 def merged(triples: DataFrame) -> DataFrame:
     """Adds merged text and status (0 clean, 1 conflict) to rows of path, lang, base, ours, theirs; null versions count as empty."""
 
-    def each(row) -> list[tuple]:
+    def each(row, tree) -> list[tuple]:
         text, status = merge(row.base or "", row.ours or "", row.theirs or "", row.path, row.lang if row.lang in LANGUAGES else None)
         return [(row.path, text, status)]
 
