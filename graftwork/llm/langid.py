@@ -42,6 +42,8 @@ TRAIN_DOCS = 400
 FALSE_REJECTS = 0.001
 LEAST_Z = 5.0
 _BITS = 8
+#: Bytes of text that are scored at once: each takes some hundred of memory.
+_SLICE = 500_000
 
 
 class HashArray:
@@ -245,7 +247,7 @@ def identify(docs: DataFrame, models: Models | None = None, id_col: str = "doc_i
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=_SLICE):
                 n = b.num_rows
                 if models is None:
                     ok = np.array([bool(v.as_py()) for v in b.column(1)], bool)
@@ -268,7 +270,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", models: Models | No
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_col):
+            for b in slices(batch, text_col, _SLICE):
                 ok = [bool(v.as_py()) for v in b.column(at)] if models is None else models.decide(b.column(at))[2]
                 yield b.filter(pa.array(ok))
 
