@@ -53,10 +53,10 @@ def _parser(logic_only: bool, limits: Limits):
     return lambda text, lang: short(text, lang) if isinstance(text, str) and len(text) <= SHORT else _tree(text, lang, logic_only, limits)
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, *by: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    return df.repartition(cores, *by) if size < SMALL * cores else df
 
 
 def _kernel(df: DataFrame, each, schema: str, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
@@ -131,10 +131,13 @@ def operations(diffs: DataFrame) -> DataFrame:
 def by_commit(pairs: DataFrame, events: bool, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
     """What needs all files of a commit: events of symbols across files, or else operations with moves across files."""
     limits = limits or Limits()
+    held: list = []  # a task's parser
 
     def trees_of(pdf: pd.DataFrame) -> list[tuple]:
+        if not held:
+            held.append(_parser(logic_only, limits))
         pdf = pdf.sort_values("file_path", kind="stable")
-        return [(r.file_path, _tree(r.old_text, r.lang, logic_only, limits)[0], _tree(r.new_text, r.lang, logic_only, limits)[0]) for r in pdf.itertuples(index=False)]
+        return [(r.file_path, held[0](r.old_text, r.lang)[0], held[0](r.new_text, r.lang)[0]) for r in pdf.itertuples(index=False)]
 
     def events_of(pdf: pd.DataFrame) -> pd.DataFrame:
         found = facts.cross_file(trees_of(pdf))
@@ -145,7 +148,7 @@ def by_commit(pairs: DataFrame, events: bool, logic_only: bool = False, limits:
         ops = multi_file({p: a for p, a, _ in sides if a}, {p: b for p, _, b in sides if b})
         return pd.DataFrame([(pdf["commit"].iloc[0], p, o, [], [], None) for p, o in ops.items()], columns=[f.split()[0] for f in _fields(FILES)])
 
-    return _changed(pairs).groupBy("commit").applyInPandas(events_of if events else moves_of, EVENTS if events else FILES)
+    return _spread(_changed(pairs), "commit").groupBy("commit").applyInPandas(events_of if events else moves_of, EVENTS if events else FILES)
 
 
 def functions_and_calls(files: DataFrame, limits: Limits | None = None) -> DataFrame:

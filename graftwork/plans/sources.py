@@ -1,8 +1,12 @@
-"""Queries of trees and comparisons: over the driver's JSON and HTML columns, and over a few sources in this file."""
+"""Queries of trees and comparisons: over the driver's JSON and HTML columns.
+
+What needs functions, calls or guards of source code has no fitting table among
+the driver's: commit_events, commit_patterns, commit_violations, commit_flows and commit_blast_radius run over PAIRS, a few sources in this file.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftwork.operators import code, lint, report
@@ -26,11 +30,8 @@ PAIRS = (
     ("c4", "pad.c", "c", "int f(int a) { return a; }", "int f(int a)   {\n  return a;\n}\n"),
 )
 RULES = [lint.Rule("no_panic", "ERROR", "panic in $file at $line", "(identifier) @p"), lint.Rule("no_open", "WARN", "open in $file at $line", "(identifier) @o")]
-MERGES = (
-    ("a.rs", "rust", "fn a() -> i32 { 1 }\n\nfn b() -> i32 { 2 }\n", "fn a() -> i32 { one() }\n\nfn b() -> i32 { 2 }\n", "fn a() -> i32 { 1 }\n\nfn b() -> i32 { two() }\n"),
-    ("b.py", "python", "x = 1\n", "x = 2\n", "x = 2\n"),
-    ("c.txt", None, "a\n", "b\n", "c\n"),
-)
+#: For properties of events; rules go by words.
+EVENT_RULES = [lint.Rule("no_null", "ERROR", "null in $file at $line", "(null) @n"), lint.Rule("no_k", "WARN", "key k in $file at $line", "(string_content) @k")]
 
 
 def pairs(spark: SparkSession) -> DataFrame:
@@ -39,11 +40,29 @@ def pairs(spark: SparkSession) -> DataFrame:
 
 def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's properties as a version of the ones before, of the same user and kind."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.lag("props").over(w).alias("old_text"), F.col("props").alias("new_text"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", *_versions())
     return e.select(F.col("event_type").alias("commit"), F.col("event_id").cast("string").alias("file_path"), F.lit("json").alias("lang"), "old_text", "new_text")
 
 
+def _event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of events, with what a user did in a month as a commit, so that no commit grows with the table; null users or times are commits of their own."""
+    of = F.concat_ws(" ", F.coalesce(F.col("user_id").cast("string"), F.lit("?")), F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit("?")))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", of.alias("commit"), *_versions())
+    return e.select("commit", F.concat_ws("/", F.coalesce("event_type", F.lit("?")), F.col("event_id").cast("string")).alias("file_path"), F.lit("json").alias("lang"), "old_text", "new_text")
+
+
+def _versions() -> list[Column]:
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return [F.lag("props").over(w).alias("old_text"), F.col("props").alias("new_text")]
+
+
+def _event_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties as base, the ones before and after it, of the same user and kind, as the versions to merge; at an end the version is missing."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat_ws("/", F.coalesce("event_type", F.lit("?")), F.col("event_id").cast("string")).alias("path"), F.lit("json").alias("lang"), F.col("props").alias("base"), F.lag("props").over(w).alias("ours"), F.lead("props").over(w).alias("theirs"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_version_diff(spark, sf_dir)
 
@@ -64,15 +83,15 @@ def html_dom_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.summary(code.file_diffs(pairs(spark)))
+    return code.summary(code.file_diffs(_event_commits(spark, sf_dir)))
 
 
 def commit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.operations(code.file_diffs(pairs(spark))).select("commit", "file_path", "seq", "op_type", "entity_type", "old_location", "new_location", "details", F.round("similarity.similarity_percent", 3).alias("similarity"), "is_logic_op")
+    return code.operations(code.file_diffs(_event_commits(spark, sf_dir))).select("commit", "file_path", "seq", "op_type", "entity_type", "old_location", "new_location", "details", F.round("similarity.similarity_percent", 3).alias("similarity"), "is_logic_op")
 
 
 def commit_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.operations(code.by_commit(pairs(spark), events=False)).select("commit", "file_path", "seq", "op_type", "details", "new_location")
+    return code.operations(code.by_commit(_event_commits(spark, sf_dir), events=False)).select("commit", "file_path", "seq", "op_type", "details", "new_location")
 
 
 def commit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,25 +117,25 @@ def commit_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.verdicts(code.file_diffs(pairs(spark))).select("commit", "files", "primary_class", "confidence", "intent_labels")
+    return code.verdicts(code.file_diffs(_event_commits(spark, sf_dir))).select("commit", "files", "primary_class", "confidence", "intent_labels")
 
 
 def commit_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark).where("new_text is not null")
+    p = _event_commits(spark, sf_dir).where("new_text is not null")
     n = code.nodes(p, "file_path", "new_text", p["lang"]).withColumnRenamed("id", "file_path")
-    return lint.lint_nodes(n, RULES)
+    return lint.lint_nodes(n, EVENT_RULES)
 
 
 def commit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.merged(spark.createDataFrame(MERGES, "path STRING, lang STRING, base STRING, ours STRING, theirs STRING"))
+    return code.merged(_event_triples(spark, sf_dir))
 
 
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif(code.file_diffs(pairs(spark)))
+    return report.sarif(code.file_diffs(_event_commits(spark, sf_dir)))
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_lines(code.file_diffs(pairs(spark)))
+    return report.json_lines(code.file_diffs(_event_commits(spark, sf_dir)))
 
 
 QUERIES = (
