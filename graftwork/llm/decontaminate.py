@@ -9,15 +9,18 @@ tokens, LEAST at least, is one window of its own length), and so are those of al
 A document's windows are shuffled only where a Bloom filter of the items' windows, sized
 by their number, lets them pass; then they are joined by hash.
 
+A window with less than half literal words is hashed with the values of its slots, so it matches exact copies only.
+
 Windows that match with the same shift between document and item form one
 alignment. In it the slots must agree: equal values of the item stand against
 equal values of the document and different against different. So a
 question with other numbers, names or units, used alike throughout, is caught, and a
-text that only shares phrasing is not. A document is contaminated by an item where a
-consistent alignment covers at least `cover` of the item's tokens, or ENOUGH tokens.
+text that only shares phrasing is not. Words put in or left out begin a new shift: alignments whose shifts
+are at most NEAR tokens from the next are joined, the longest first, each if its slots agree with those before.
+A document is contaminated by an item where what is joined covers at least `cover` of the item's tokens, or ENOUGH tokens.
 
 Defined results: null and empty texts of either table match nothing; items
-of fewer than LEAST tokens, or with less than half literal words in a window, are not
+of fewer than LEAST tokens are not
 searched for; texts of any length are searched whole; repeated documents are
 each reported once for each item (rows of equal id and text are one); repeated items are
 reported under each id; a null doc_id is reported as null. Other columns are ignored, and kept by decontaminate().
@@ -36,10 +39,11 @@ from graftwork.llm import rows
 from graftwork.llm.batches import U, Words, mix, raw, slices
 from graftwork.storage import cut
 
-WINDOW, LEAST, COVER, ENOUGH = 8, 5, 0.5, 24
+WINDOW, LEAST, COVER, ENOUGH, NEAR = 8, 5, 0.5, 24, 4
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit kelvin mph kmh kph hz khz mhz ghz w kw mw watt watts v volt volts amp amps joule joules calorie calories byte bytes kb mb gb tb".split()
 LITERAL, NUMBER, UNIT, NAME = range(4)
+_DENSE = U(0x3C6EF372FE94F82B)
 _SLOT = np.array([0, 0x51ED270B1, 0x7A2B3C4D5, 0x19F8E7D6C], U)
 
 
@@ -93,14 +97,18 @@ class Templates:
         self.literals = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the windows of one row begin, and their hashes; those with fewer than half literals are left out."""
+        """Where the windows of one row begin, and their hashes; of those with fewer than half literals, with the slots' values."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        begin = np.flatnonzero((self.row[:n] == self.row[size - 1 :]) & (2 * (self.literals[size:] - self.literals[:-size]) >= size))
-        out = np.full(len(begin), U(size))
+        begin = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
+        dense = 2 * (self.literals[begin + size] - self.literals[begin]) < size
+        out = np.where(dense, U(size) ^ _DENSE, U(size))
+        some = np.flatnonzero(dense)
         for k in range(size):
-            out = (out ^ self.hash[begin + k]) * U(0xD6E8FEB86659FD93)
+            token = self.hash[begin + k]
+            token[some] ^= np.where(self.kind[begin[some] + k] == LITERAL, U(0), self.value[begin[some] + k])
+            out = (out ^ token) * U(0xD6E8FEB86659FD93)
             out ^= out >> U(32)
         return begin, mix(out)
 
@@ -133,7 +141,7 @@ class Bloom:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The windows of the items: item_id, place, size, tokens, hash, slots."""
+    """The windows of the items: item_id, place, size, tokens, hash, slots, dense (hashed with its slots' values)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, units = _set(NUMBERS), _set(UNITS)
@@ -146,13 +154,13 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
                     for p, x in zip(begin.tolist(), h.view(np.int64).tolist()):
                         r = int(t.row[p])
                         if size == window or count[r] == size:
-                            out.append((r, p - int(t.first[r]), size, int(count[r]), x, t.slots(p, size)))
-                r, *rest = zip(*out) if out else ((),) * 6
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, types))], names=["item_id", "place", "size", "tokens", "hash", "slots"])
+                            out.append((r, p - int(t.first[r]), size, int(count[r]), x, t.slots(p, size), bool(2 * (t.literals[p + size] - t.literals[p]) < size)))
+                r, *rest = zip(*out) if out else ((),) * 7
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, types))], names=["item_id", "place", "size", "tokens", "hash", "slots", "dense"])
 
     narrow = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(kernel, "item_id long, place int, size int, tokens int, hash long, slots array<long>")
+    return narrow.mapInArrow(kernel, "item_id long, place int, size int, tokens int, hash long, slots array<long>, dense boolean")
 
 
 def _bloom(items: DataFrame) -> tuple[Bloom, list[int]]:
@@ -172,6 +180,30 @@ def _bloom(items: DataFrame) -> tuple[Bloom, list[int]]:
     return out, sorted(about.sizes)
 
 
+def _joined(alignments: list[dict], size: int, tokens: int, cover: float) -> tuple[float, int] | None:
+    """The share of an item that its alignments in a document cover together and how many slots have other values, at best; None where that isn't enough."""
+    near: list[list[dict]] = []
+    for a in sorted(alignments, key=lambda a: a["shift"]):
+        if near and a["shift"] - near[-1][-1]["shift"] <= NEAR:
+            near[-1].append(a)
+        else:
+            near.append([a])
+    best = None
+    for some in near:
+        there, back, covered = {}, {}, set()
+        for a in sorted(some, key=lambda a: (-a["n"], a["shift"])):
+            more = {t for p in a["places"] for t in range(p, p + size)} - covered
+            x, y = dict(there), dict(back)
+            if more and all(x.setdefault(p["slots"], p["doc_slots"]) == p["doc_slots"] and y.setdefault(p["doc_slots"], p["slots"]) == p["slots"] for p in a["pairs"]):
+                there, back = x, y
+                covered |= more
+        n = len(covered)
+        if n and (n >= cover * tokens or n >= ENOUGH):
+            found = (n / tokens, -sum(p != q for p, q in there.items()))
+            best = found if best is None else max(best, found)
+    return best and (best[0], -best[1])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """key_id, key_text, item_id, covered (share of the item's tokens) and reparameterised (slots of other values) by document and item."""
     items = cut(_items(benchmark, item_col, item_text_col, window), "benchmark-windows")
@@ -194,19 +226,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     hits = rows.keyed(docs, id_col, text_col).mapInArrow(kernel, "key_id long, key_text long, at long, hash long, doc_slots array<long>")
     joined = hits.join(items, "hash").withColumn("shift", F.col("at") - F.col("place"))
-    one = joined.groupBy("key_id", "key_text", "item_id", "shift").agg(
+    # dense windows are alignments of their own, as what they add mustn't make others disagree
+    one = joined.groupBy("key_id", "key_text", "item_id", "shift", "dense").agg(
         F.sort_array(F.collect_set("place")).alias("places"), F.max("size").alias("size"), F.max("tokens").alias("tokens"), F.flatten(F.collect_list(F.arrays_zip("slots", "doc_slots"))).alias("pairs")
     )
     one = one.withColumn("pairs", F.array_distinct("pairs"))
     # tokens under the union of the windows: each adds what the one before it doesn't reach
     step = F.expr("aggregate(places, named_struct('n', 0, 'to', 0), (s, p) -> named_struct('n', s.n + p + size - greatest(p, s.to), 'to', p + size), s -> s.n)")
     one = one.withColumn("n", step)
-    agree = (F.size(F.array_distinct("pairs.slots")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.doc_slots")) == F.size("pairs"))
-    enough = (F.col("n") >= cover * F.col("tokens")) | (F.col("n") >= ENOUGH)
-    other = F.size(F.filter("pairs", lambda x: x["slots"] != x["doc_slots"]))
-    good = one.where(agree & enough).select("key_id", "key_text", "item_id", (F.col("n") / F.col("tokens")).alias("covered"), other.alias("other"))
-    best = good.groupBy("key_id", "key_text", "item_id").agg(F.max(F.struct("covered", -F.col("other"))).alias("best"))
-    return best.select("key_id", "key_text", "item_id", F.col("best.covered").alias("covered"), (-F.col("best.col2")).cast("long").alias("reparameterised"))
+    alike = one.groupBy("key_id", "key_text", "item_id").agg(F.max("size").alias("size"), F.max("tokens").alias("tokens"), F.collect_list(F.struct("shift", "n", "places", "pairs")).alias("alignments"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [_joined(b.column(5)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py(), cover) for i in range(b.num_rows)]
+            r = pa.array([i for i, x in enumerate(best) if x], pa.int64())
+            covered, other = zip(*(x for x in best if x)) if len(r) else ((), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(r) for k in range(3)), pa.array(covered, pa.float64()), pa.array(other, pa.int64())], names=["key_id", "key_text", "item_id", "covered", "reparameterised"])
+
+    return alike.mapInArrow(join, "key_id long, key_text long, item_id long, covered double, reparameterised long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
