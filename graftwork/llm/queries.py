@@ -19,7 +19,7 @@ def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddup.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embeddup.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_source": "SELECT page_id, url, 200::BIGINT AS http_status, strlen(html)::BIGINT AS bytes, md5(html) AS md5 FROM pages",
         "op3_embedding_near_dedup": """
-            SELECT vec_a, vec_b, round(max(c), 3) AS similarity
-            FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
-                  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-            WHERE c >= 0.95 GROUP BY ALL""",
+            WITH RECURSIVE ok AS (
+                SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, e -> e <> 0)) > 0),
+            near AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+            reach(a, b) AS (SELECT DISTINCT vec_id, vec_id FROM ok UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
+            SELECT a AS vec_id, min(b) AS class_id, count(*)::BIGINT AS members FROM reach GROUP BY a""",
     }

@@ -103,9 +103,10 @@ def test_token_counts(odd, none):
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.001]), (2, [1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, float("nan"), 0.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0, 0.0]), (9, [1.0, None, 0.0]), (10, [float("inf"), 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>").selectExpr("*", "'x' as vec_a", "'x' as vec_b", "'x' as cell", "'x' as id")
-    assert [(r.vec_a, r.vec_b, r.similarity) for r in embeddup.near_pairs(df).collect()] == [(1, 2, 1.0)]
-    assert embeddup.near_pairs(df.where("false")).count() == 0
-    assert embeddup.near_pairs(df.where("vec_id > 2 and vec_id < 8")).count() == 0
+    df = df.selectExpr("*", "'x' as node", "'x' as root", "'x' as v")
+    assert sorted((r.vec_id, r.class_id, r.members) for r in embeddup.classes(df).collect()) == [(1, 1, 2), (2, 1, 2), (7, 7, 1), (8, 8, 1)]
+    assert embeddup.classes(df.where("false")).count() == 0
+    assert embeddup.classes(df.where("vec_id > 2 and vec_id < 7")).count() == 0
 
 
 def test_warc(spark, tmp_path):
