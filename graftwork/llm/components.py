@@ -24,3 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             drop(both)
             return labels
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots of components(), with further edges(a, b): only what the edges join is gone through again."""
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias("root_" + k)) for k in ("a", "b"))
+    fresh = cut(edges.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")), "edges")
+    over = components(fresh.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    # nodes that had no root are their own
+    new = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    every = roots.select("node", "root").union(new)
+    out = cut(every.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root")), "labels")
+    drop(fresh)
+    drop(over)
+    return out

@@ -2,11 +2,10 @@
 
 A text's shingles are its runs of three words (a shorter text is one shingle),
 weighted by their count in it and by idf = ln(documents / documents with the
-shingle), at most ln(1 / RARE) and at least LEAST_IDF. So only shingles in a
-share RARE of the documents or more need a count; there are at most (shingles a text) / RARE of
-them, however large the corpus. They are found exactly in two passes: a shingle with that
-share of all documents has it in some block of them, which gives the candidates; these are
-counted over all documents.
+shingle), LEAST_IDF at least. All shingles of all documents are counted, in a count-min sketch of
+ROWS rows of WIDTH counters that is summed by a shuffle: it is of one size for any corpus. A count is never too low; it is too high by
+e / WIDTH of all shingles, or e * (shingles a text) / WIDTH of the documents, with a probability of at most e ** -ROWS. So documents of
+500 shingles have idf told apart down to shares of about 0.0003 (as expected, 0.0001) at every size, and a corpus of some thousand texts has it exactly.
 
 Texts of equal words are one node from then on. A node's sketch takes BANDS * DEPTH consistent
 weighted samples (the probability that two nodes share one is their weighted
@@ -33,22 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm import rows
 from graftwork.llm.batches import U, Words, grams, mix, slices
-from graftwork.llm.components import components
-from graftwork.llm.langid import HashArray
+from graftwork.llm.components import components, joined
 from graftwork.storage import cut, drop
 
 WORDS, BANDS, DEPTH, LEAST = 3, 20, 3, 0.5
-RARE, LEAST_IDF = 0.002, 0.05
+LEAST_IDF = 0.05
+ROWS, WIDTH = 2, 1 << 22
 SEED = 20240229
 _FEATURE_BITS = 44
 _TABLE_BITS = 12
-#: Documents, or shingles, of a block in which shares are looked at.
-BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 4_000_000
+#: Shingles that are added to a sketch at once, and the parts in which sketches are summed.
+BLOCK_SHINGLES, PARTS = 4_000_000, 64
 #: Shingles whose samples are drawn at once.
 DRAW = 20_000
 
@@ -74,69 +74,71 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_f or [np.zeros(0, U)]), np.concatenate(out_c or [np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum(size)])
 
 
+def _cells(features: np.ndarray) -> list[np.ndarray]:
+    """Of each row of the sketch, the features' counters."""
+    h = mix(features)
+    return [(h >> U(32 * k)).astype(np.int64) & (WIDTH - 1) for k in range(ROWS)]
+
+
 class Idf:
-    """Inverse document frequencies of the shingles that are frequent; all others have the most."""
+    """Inverse document frequencies from the logarithms of a sketch's counts, [ROWS, WIDTH]."""
 
-    def __init__(self, features: np.ndarray, count: np.ndarray, documents: int) -> None:
-        self.array = HashArray(features)
-        most = np.log(min(max(documents, 2), 1 / RARE))
-        idf = np.clip(np.log(max(documents, 1) / np.maximum(count, 1)), LEAST_IDF, most)
-        self.value = np.append(idf[self.array.order], most).astype(np.float32)
+    def __init__(self, counts: np.ndarray, documents: int) -> None:
+        self.counts, self.most = counts, np.float32(np.log(max(documents, 2)))
 
     def weights(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.value[self.array.find(features)] * counts.astype(np.float32)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features that reach the share RARE of the documents of some block, and the blocks' documents once."""
-    held: list[tuple[int, list[np.ndarray]]] = []
-
-    def emit(blocks: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
-        docs = sum(d for d, _ in blocks)
-        f = np.sort(np.concatenate([x for _, parts in blocks for x in parts] or [np.zeros(0, U)]))
-        start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
-        often = np.diff(np.append(start, len(f))) >= RARE * docs
-        f = f[start][often].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(f, 0)), pa.array(np.append(np.zeros(len(f), np.int64), docs))], names=["feature", "docs"])
-
-    docs, size, parts = 0, 0, []
-    for batch in batches:
-        for b in slices(batch):
-            f, _, _ = shingles(Words(b.column(0)))
-            docs, size = docs + b.num_rows, size + len(f)
-            parts.append(f)
-            if docs >= BLOCK_DOCS or size >= BLOCK_SHINGLES:
-                # the last block is joined with the one before it, lest a few documents make everything frequent
-                if held:
-                    yield emit(held)
-                held, docs, size, parts = [(docs, parts)], 0, 0, []
-    if held or docs:
-        yield emit([*held, (docs, parts)])
-
-
-def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
-    """Features in a share RARE of the documents or more, how many documents have each, and how many documents there are."""
-    text = docs.select(docs[text_col].cast("string").alias("text"))
-    found = cut(text.mapInArrow(_candidates, "feature long, docs long"), "frequent")
-    total = found.agg(F.sum("docs")).first()[0] or 0
-    some = found.where("docs = 0").select("feature").distinct().toPandas()["feature"].to_numpy(np.int64).view(U)
-    drop(found)
-    if not len(some):
-        return some, np.zeros(0, np.int64), total
-    some = np.sort(some)
+        seen = np.min([row[at] for row, at in zip(self.counts, _cells(features))], 0).astype(np.float32)
+        return np.maximum(self.most - seen, np.float32(LEAST_IDF)) * counts.astype(np.float32)
+
+
+def frequencies(docs: DataFrame, text_col: str = "text") -> Idf:
+    """The idf of all shingles over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array, seen = HashArray(some), np.zeros(len(some), np.int64)
+        sketch, docs, size, held = np.zeros((ROWS, WIDTH), np.uint32), 0, 0, []
+
+        def add() -> None:
+            nonlocal size, held
+            for row, at in zip(sketch, _cells(np.concatenate(held))):
+                row += np.bincount(at, minlength=WIDTH).astype(np.uint32)
+            size, held = 0, []
+
         for batch in batches:
             for b in slices(batch):
-                at = array.find(shingles(Words(b.column(0)))[0])
-                seen += np.bincount(at[at >= 0], minlength=len(some))
-        hit = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some[array.order][hit].view(np.int64)), pa.array(seen[hit])], names=["feature", "n"])
-
-    counted = text.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") >= RARE * total).toPandas().sort_values("feature")
-    return counted["feature"].to_numpy(np.int64).view(U), counted["n"].to_numpy(np.int64), total
+                f = shingles(Words(b.column(0)))[0]
+                docs, size = docs + b.num_rows, size + len(f)
+                held.append(f)
+                if size >= BLOCK_SHINGLES:
+                    add()
+        if held:
+            add()
+            pack = zstandard.ZstdCompressor(level=1)
+            # bytes of equal weight together, as nearly all of the higher ones are 0
+            parts = [pack.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in np.split(sketch.reshape(-1), PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([docs] + [0] * (PARTS - 1), pa.int64()), pa.array(parts, pa.binary())], names=["part", "docs", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        docs, unpack = 0, zstandard.ZstdDecompressor()
+        for b in batches:
+            docs += sum(b.column(1).to_pylist())
+            for part, x in zip(b.column(0).to_pylist(), b.column(2)):
+                own = np.ascontiguousarray(np.frombuffer(unpack.decompress(x.as_buffer()), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+                if part in total:
+                    total[part] += own
+                else:
+                    total[part] = own.astype(np.uint64)
+        for k, (part, x) in enumerate(total.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs * (k == 0)], pa.int64()), pa.array([np.log(np.maximum(x, 1)).astype(np.float16).tobytes()], pa.binary())], names=["part", "docs", "counts"])
+
+    schema = "part int, docs long, counts binary"
+    text = docs.select(docs[text_col].cast("string").alias("text"))
+    found = text.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add_up, schema)
+    counts, total = np.zeros((PARTS, ROWS * WIDTH // PARTS), np.float16), 0
+    for r in found.toLocalIterator():
+        counts[r.part] = np.frombuffer(r.counts, np.float16)
+        total += r.docs
+    return Idf(counts.reshape(ROWS, WIDTH), total)
 
 
 class Sampler:
@@ -217,16 +219,16 @@ def _content(words: Words) -> list[bytes | None]:
     return [raw[16 * i : 16 * i + 16] if c else None for i, c in enumerate(np.diff(words.first).tolist())]
 
 
-def sketches(docs: DataFrame, idf: tuple[np.ndarray, np.ndarray, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, idf: Idf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key_id, key_text, node (the content) and bands of each row that has words."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, sampler = Idf(*idf), Sampler()
+        sampler = Sampler()
         for batch in batches:
             for b in slices(batch):
                 words = Words(b.column(2))
                 features, counts, first = shingles(words)
-                found = bands(sampler.sketch(features, weigh.weights(features, counts), first))
+                found = bands(sampler.sketch(features, idf.weights(features, counts), first))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS), pa.int32()), pa.array(found.reshape(-1).view(np.int64)))
                 out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_content(words), pa.binary()), flat], names=["key_id", "key_text", "node", "bands"])
                 yield out.filter(out.column(2).is_valid())
@@ -234,15 +236,14 @@ def sketches(docs: DataFrame, idf: tuple[np.ndarray, np.ndarray, int], id_col: s
     return rows.keyed(docs, id_col, text_col).mapInArrow(kernel, "key_id long, key_text long, node binary, bands array<long>")
 
 
-def _vectors(docs: DataFrame, wanted: DataFrame, count: int, idf: tuple[np.ndarray, np.ndarray, int], id_col: str, text_col: str) -> DataFrame:
+def _vectors(docs: DataFrame, wanted: DataFrame, count: int, idf: Idf, id_col: str, text_col: str) -> DataFrame:
     """node, features and weights of the wanted(key_id, key_text, node)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Idf(*idf)
         for batch in batches:
             for b in slices(batch):
                 features, counts, first = shingles(Words(b.column(1)))
-                weights = weigh.weights(features, counts)
+                weights = idf.weights(features, counts)
                 at = pa.array(first, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(features.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(weights))], names=["node", "features", "weights"])
 
@@ -287,40 +288,44 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     order = F.struct((F.col("key_id") == rows._NO_ID).alias("no_id"), "key_id", "key_text")
     nodes = found.groupBy("node").agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
     flat = nodes.select("node", "least", F.explode("bands").alias("band"))
-    bucket = Window.partitionBy("band")
-    members = flat.withColumn("hub", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1")
-    members = cut(members.select("band", "node", "hub", "least.key_id", "least.key_text"), "buckets")
+    # counts of a bucket are partial before the shuffle, and the join splits a large one
+    hubs = flat.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    members = cut(flat.join(hubs, "band").select("band", "node", "hub", "least.key_id", "least.key_text"), "buckets")
     wanted = members.select("key_id", "key_text", "node").distinct()
     vectors = cut(_vectors(docs, wanted, wanted.count(), idf, id_col, text_col), "vectors")
 
     # each node against the least of its hubs
     pairs = members.groupBy("node").agg(F.min("hub").alias("b")).where("b <> node").select(F.col("node").alias("a"), "b")
-    checked = cut(_verify(pairs, vectors), "verified")
-    edges = checked.where(F.col("similarity") >= least).select("a", "b")
-    roots = components(edges)
-    places = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    checked = [cut(_verify(pairs, vectors), "verified")]
+    roots = components(checked[0].where(F.col("similarity") >= least))
     # between components, the least nodes of each in a bucket; then all nodes
     for everything in (False, True):
-        mixed = places.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
-        mixed = mixed.select("band", "node", "root", "lo")
+        places = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        places = cut(places, "places")
+        span = places.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "lo")
+        mixed = places.join(span, "band")
         if not everything:
             mixed = mixed.groupBy("band", "root").agg(F.min("node").alias("node"), F.first("lo").alias("lo"))
-        mixed = cut(mixed, "mixed")
+        mixed = cut(mixed.select("band", "node", "root", "lo"), "mixed")
         other = mixed.select(F.col("band").alias("of"), F.col("node").alias("b"), F.col("root").alias("root_b"))
         wide = mixed if everything else mixed.where("root = lo")
-        pairs = wide.join(other, (wide.band == other.of) & (wide.root < other.root_b)) if everything else wide.join(other, (wide.band == other.of) & (other.root_b != wide.root))
+        pairs = wide.join(other, (wide.band == other.of) & ((wide.root < other.root_b) if everything else (other.root_b != wide.root)))
         pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        before = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut(_verify(pairs.join(before, ["a", "b"], "left_anti"), vectors), "verified")
-        checked = checked.union(fresh)
-        edges = edges.union(fresh.where(F.col("similarity") >= least).select("a", "b"))
-        roots = components(edges)
-        places = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        for before in checked:
+            pairs = pairs.join(before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        checked.append(cut(_verify(pairs, vectors), "verified"))
+        fresh = joined(roots, checked[-1].where(F.col("similarity") >= least))
+        for table in (roots, places, mixed):
+            drop(table)
+        roots = fresh
 
     whole = found.select("key_id", "key_text", "node").join(roots, "node", "left").select("key_id", "key_text", F.coalesce("root", "node").alias("root"))
     alike = whole.groupBy("root", "key_id", "key_text").agg(F.count("*").alias("copies"))
     kept = alike.groupBy("root").agg(F.min(order).alias("keep"), F.sum("copies").alias("rows")).where("rows > 1").select("root", "keep")
-    return alike.join(kept, "root").select("key_id", "key_text", F.col("keep.key_id").alias("keep_id"), F.col("keep.key_text").alias("keep_text"), "copies")
+    out = cut(alike.join(kept, "root").select("key_id", "key_text", F.col("keep.key_id").alias("keep_id"), F.col("keep.key_text").alias("keep_text"), "copies"), "groups")
+    for table in (found, members, vectors, roots, *checked):
+        drop(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -334,7 +339,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, as they are, without all but one of each group."""
-    found = cut(groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    found = groups(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("key_id <> keep_id OR key_text <> keep_text").select("key_id", "key_text")
     twice = found.where("key_id = keep_id AND key_text = keep_text AND copies > 1").select("key_id", "key_text")
     left = rows.without(docs, gone, gone.count(), id_col, text_col)

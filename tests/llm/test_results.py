@@ -300,10 +300,7 @@ def brute_groups(rows, least):
     features, counts, first = neardup.shingles(words)
     documents = len(rows)
     df = Counter(features.tolist())
-    from graftwork.llm.neardup import LEAST_IDF, RARE
-
-    cap = math.log(1 / RARE)
-    idf = {f: max(LEAST_IDF, min(cap, math.log(documents / n))) for f, n in df.items()}
+    idf = {f: max(neardup.LEAST_IDF, math.log(documents / n)) for f, n in df.items()}
     vec = [{int(f): c * idf[int(f)] for f, c in zip(features[a:b], counts[a:b])} for a, b in zip(first[:-1], first[1:])]
     parent = list(range(len(rows)))
 
@@ -335,6 +332,21 @@ def test_near_duplicates_against_all_pairs(documents):
     assert neardup.deduplicate(documents).count() == documents.count() - len(got)
 
 
+def test_idf_counts_all_shingles(spark, monkeypatch):
+    """Sketched frequencies against counting, in 100 partitions of long documents; small, so that counters collide."""
+    monkeypatch.setattr(neardup, "WIDTH", 1 << 20)
+    g = random.Random(9)
+    rows = [(i, " ".join(g.choice(VOCABULARY) for _ in range(g.choice((3, 300, 2000)))) + (" one passage that many of the documents share" if i % 3 else "")) for i in range(300)]
+    features, _, first = neardup.shingles(Words(pa.array([t for _, t in rows])))
+    df = Counter(features.tolist())
+    idf = neardup.frequencies(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(100))
+    own = np.array(sorted(df), np.uint64)
+    got, want = idf.weights(own, np.ones(len(own))), np.array([max(neardup.LEAST_IDF, math.log(300 / df[f])) for f in own.tolist()])
+    assert (got <= want + 0.01).all() and (np.abs(got - want) < 0.01).mean() > 0.8
+    # too high by more than e / WIDTH of all shingles with a probability of e ** -ROWS at most
+    assert (300 * (np.exp(-got) - np.exp(-want)) > math.e * len(features) / neardup.WIDTH + 0.6).mean() <= math.exp(-neardup.ROWS)
+
+
 def test_a_group_of_many_copies(spark):
     g = random.Random(8)
     base = [sentence(g, 15) for _ in range(12)]
