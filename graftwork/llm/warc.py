@@ -1,8 +1,9 @@
 """WARC files as a data source, "warc": read and written by Python, planned by file and byte range.
 
-Reading: files (.warc, .warc.gz with a member for each record, or other names by their first bytes) are
-cut into ranges of `splitBytes`; a record belongs to the range in which it begins, which a
-reader finds by itself. Of every record the WARC header is parsed first; comparisons of
+Reading: files (.warc, .warc.gz, or other names by their first bytes) are
+cut into ranges of `splitBytes`; a record belongs to the range in which it (or its gzip member) begins, which a
+reader finds by itself. A member with many records, as where a whole file is one, is read to its end by the range in which it begins; its
+records have the member's offset. Of every record the WARC header is parsed first; comparisons of
 columns that come from it (warc_type, record_id, target_uri, date, content_type,
 content_length, record_offset, file) are pushed down and decided there. A record that fails them is
 skipped: by a seek where its length is known (plain files; members that carry the
@@ -15,8 +16,8 @@ temporary name, and the commit gives the files of finished tasks their names, so
 lost and repeated tasks leave nothing behind.
 
 Defined results: a null in any column read means that the header is missing; a
-damaged or cut-off record ends its range at that point (mode=permissive, the default) or
-fails the job (mode=failfast); an empty file has no records; on writing, null payloads and
+damaged or cut-off record is passed over, up to the next one that can be found (mode=permissive, the default), or
+fails the job (mode=failfast); repeated records are read each; payloads of any length are read whole; an empty file has no records; on writing, null payloads and
 empty ones are blocks of HTTP head alone, null headers are left out, other columns are ignored.
 """
 
@@ -250,60 +251,78 @@ class Gzipped:
 
     def head(self, at: int) -> tuple[dict[str, str], dict[str, str], int, int, int]:
         """As Plain.head; the next record's place is -1 where only inflating tells it."""
-        inflate, raw, read = zlib.decompressobj(31), b"", at
+        self.open(at)
+        headers, low, length = self.next_head(at)
+        size = self._member(at)
+        return headers, low, at, length, at + size if size else -1
+
+    def open(self, at: int) -> None:
+        self.inflate, self.rest, self.read = zlib.decompressobj(31), b"", at
+
+    def more(self, most: int) -> bool:
+        """Inflates some more of the member into `rest`; False at its end."""
+        if self.inflate.eof:
+            return False
+        piece = self.inflate.unconsumed_tail or self.source.at(self.read, min(most, _CHUNK))
+        if not self.inflate.unconsumed_tail:
+            self.read += len(piece)
+        if not piece:
+            raise Damaged("cut off")
         try:
-            while (end := raw.find(b"\r\n\r\n")) < 0:
-                piece = inflate.unconsumed_tail or self.source.at(read, 1024)
-                if not inflate.unconsumed_tail:
-                    read += len(piece)
-                if not piece or inflate.eof:
-                    raise Damaged(f"no end of the header at {at}")
-                raw += inflate.decompress(piece, 2048)
+            self.rest += self.inflate.decompress(piece, most)
         except zlib.error as e:
             raise Damaged(str(e)) from e
+        return True
+
+    def next_head(self, at: int) -> tuple[dict[str, str], dict[str, str], int]:
+        """Headers of the record that `rest` begins with, and its length; `rest` is its block from then on."""
+        while (end := self.rest.find(b"\r\n\r\n")) < 0:
+            if not self.more(2048):
+                raise Damaged(f"no end of the header at {at}")
+        raw = self.rest
         if not raw.startswith(b"WARC/"):
             raise Damaged(f"no record at {at}")
         headers = _headers(raw[:end].split(b"\r\n", 1)[-1])
         low = {k.lower(): v for k, v in headers.items()}
         if not low.get("content-length", "").isdigit():
             raise Damaged(f"no length at {at}")
-        self.state = inflate, raw[end + 4 :], read
-        size = self._member(at)
-        return headers, low, at, int(low["content-length"]), at + size if size else -1
+        self.rest = raw[end + 4 :]
+        return headers, low, int(low["content-length"])
 
     def block(self, begin: int, length: int) -> bytes:
-        inflate, rest, read = self.state
-        parts, have = [rest], len(rest)
-        try:
-            while have < length and not inflate.eof:
-                piece = inflate.unconsumed_tail or self.source.at(read, _CHUNK)
-                if not inflate.unconsumed_tail:
-                    read += len(piece)
-                if not piece:
-                    break
-                parts.append(inflate.decompress(piece, 1 << 22))
-                have += len(parts[-1])
-        except zlib.error as e:
-            raise Damaged(str(e)) from e
-        if have < length:
-            raise Damaged(f"cut off at {begin}")
-        self.state = inflate, b"", read
-        return b"".join(parts)[:length]
+        parts, have = [self.rest], len(self.rest)
+        self.rest = b""
+        while have < length:
+            if not self.more(1 << 22):
+                raise Damaged(f"cut off at {begin}")
+            parts.append(self.rest)
+            have += len(self.rest)
+            self.rest = b""
+        whole = b"".join(parts)
+        self.rest = whole[length:]
+        return whole[:length]
+
+    def follows(self, length: int) -> bool:
+        """Passes over so much of the block as is left and the empty lines after it; whether the member goes on with another record."""
+        while length > len(self.rest):
+            length -= len(self.rest)
+            self.rest = b""
+            if not self.more(1 << 22):
+                raise Damaged("cut off")
+        self.rest = self.rest[length:]
+        while True:
+            self.rest = self.rest.lstrip(b"\r\n")
+            if self.rest:
+                return True
+            if not self.more(1 << 16):
+                return False
 
     def skip(self) -> int:
         """Inflates to the member's end, keeping nothing; where the next begins."""
-        inflate, _, read = self.state
-        try:
-            while not inflate.eof:
-                piece = inflate.unconsumed_tail or self.source.at(read, _CHUNK)
-                if not inflate.unconsumed_tail:
-                    read += len(piece)
-                if not piece:
-                    raise Damaged("cut off")
-                inflate.decompress(piece, 1 << 22)
-        except zlib.error as e:
-            raise Damaged(str(e)) from e
-        return read - len(inflate.unused_data)
+        self.rest = b""
+        while self.more(1 << 22):
+            self.rest = b""
+        return self.read - len(self.inflate.unused_data)
 
 
 def _http(block: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:
@@ -384,18 +403,26 @@ class Reader(DataSourceReader):
             while at < partition.end:
                 try:
                     headers, low, begin, length, after = records.head(at)
-                    row = {c: low.get(h) for c, h in _FROM_HEADER.items()} | {"content_length": length, "file": partition.path, "record_offset": at}
-                    wanted = all(t.known(row) for t in self.tests)
-                    if wanted:
-                        row |= {"headers": list(headers.items()), "http_status": None, "http_headers": None, "payload": None}
-                        if self.payload:
-                            body = records.block(begin, length)
-                            if low.get("content-type", "").lower().startswith("application/http"):
-                                row["http_status"], http, body = _http(body)
-                                row["http_headers"] = list(http.items()) if http is not None else None
-                            row["payload"] = body
-                            held += len(body)
-                        rows.append(row)
+                    while True:
+                        row = {c: low.get(h) for c, h in _FROM_HEADER.items()} | {"content_length": length, "file": partition.path, "record_offset": at}
+                        left = length
+                        if all(t.known(row) for t in self.tests):
+                            row |= {"headers": list(headers.items()), "http_status": None, "http_headers": None, "payload": None}
+                            if self.payload:
+                                body, left = records.block(begin, length), 0
+                                if low.get("content-type", "").lower().startswith("application/http"):
+                                    row["http_status"], http, body = _http(body)
+                                    row["http_headers"] = list(http.items()) if http is not None else None
+                                row["payload"] = body
+                                held += len(body)
+                            rows.append(row)
+                        # a member without a length of its own may hold more records
+                        if after >= 0 or not records.follows(left):
+                            break
+                        headers, low, length = records.next_head(at)
+                        if len(rows) >= 2000 or held >= 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                            rows, held = [], 0
                     at = after if after >= 0 else records.skip()
                     if not zipped and at < source.size:
                         # a record may be followed by more or fewer empty lines than two
@@ -404,7 +431,7 @@ class Reader(DataSourceReader):
                 except Damaged:
                     if self.failfast:
                         raise
-                    break
+                    at = records.first(at + 1)
                 if len(rows) >= 2000 or held >= 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows, held = [], 0

@@ -1,5 +1,6 @@
 """Results against brute force, exact round trips and held-out rows."""
 
+import gzip
 import math
 import random
 import re
@@ -93,6 +94,33 @@ def test_warc_pushdown(spark, tmp_path, name):
     assert warc.read(spark, path, splitBytes="1000").where("warc_type = 'response'").count() == pages.count()
 
 
+def _warc_file(path, records, whole_member):
+    blocks = [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {len(r)}\r\n\r\n".encode() + r + b"\r\n\r\n" for i, r in enumerate(records)]
+    path.write_bytes(gzip.compress(b"".join(blocks)) if whole_member else b"".join(blocks))
+    return blocks
+
+
+def test_warc_many_records_to_a_member(spark, tmp_path):
+    records = [b"a", b"", b"x" * 700_000, b"line\r\n\r\nWARC/1.1\r\n", b"last"]
+    _warc_file(tmp_path / "a.warc.gz", records, True)
+    got = {r.record_id: bytes(r.payload) for r in warc.read(spark, str(tmp_path / "a.warc.gz"), mode="failfast").collect()}
+    assert got == {f"<urn:x:{i}>": r for i, r in enumerate(records)}
+    assert warc.read(spark, str(tmp_path / "a.warc.gz")).where("content_length > 3").count() == 3
+
+
+def test_warc_goes_on_after_damage(spark, tmp_path):
+    blocks = _warc_file(tmp_path / "a.warc", [b"one", b"two", b"three", b"four"], False)
+    blocks[1] = blocks[1].replace(b"Content-Length: 3", b"Content-Length: ?")
+    (tmp_path / "a.warc").write_bytes(b"".join(blocks))
+    assert [bytes(r.payload) for r in warc.read(spark, str(tmp_path / "a.warc")).collect()] == [b"one", b"three", b"four"]
+    with pytest.raises(Exception, match="no length"):
+        warc.read(spark, str(tmp_path / "a.warc"), mode="failfast").collect()
+    members = [warc.member(b) for b in blocks]
+    members[2] = members[2][:40] + b"\0" * 8 + members[2][48:]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    assert b"four" in [bytes(r.payload) for r in warc.read(spark, str(tmp_path / "b.warc.gz")).collect()]
+
+
 # 3
 
 
