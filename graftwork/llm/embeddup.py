@@ -94,7 +94,8 @@ class Plan:
 
     def passing(self, place: np.ndarray, codes: np.ndarray, root: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows of one cell, sorted by place: each query against all rows of other roots in its window that collide with it often enough."""
-        low = np.searchsorted(place, place[queries] - np.float32(self.half), "left")
+        # of two queries the later one in the window is the other's partner; what is no query is one either side
+        low = queries + 1 if len(queries) == len(place) else np.searchsorted(place, place[queries] - np.float32(self.half), "left")
         size = np.searchsorted(place, place[queries] + np.float32(self.half), "right") - low
         ends, at = np.cumsum(size), 0
         while at < len(queries):
@@ -133,15 +134,20 @@ def _verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "va", "vb").mapInArrow(kernel, "a binary, b binary")
 
 
-def _across(flat: DataFrame, roots: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """a < b: nodes that collide often enough in a cell of two roots or more, and have different ones."""
-    placed = flat.join(roots, "node", "left").select("dimension", "cell", "node", F.coalesce("root", "node").alias("root"), "place", "codes")
-    by_root = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = mixed.select("cell", F.col("most.root").alias("largest"), F.ceil(F.col("most.n") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")
-    chunk = F.when(F.col("root") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = placed.join(mixed, "cell").withColumn("chunk", F.explode(chunk)).select("dimension", "cell", "chunk", "node", "root", (F.col("root") == F.col("largest")).alias("big"), "place", "codes")
+def _across(flat: DataFrame, roots: DataFrame, hot: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """a < b: nodes that collide often enough in a cell and have different roots. hot: the cells of more than CHUNK nodes."""
+    kept = "dimension", "cell", "chunk", "node", "root", "big", "place", "codes"
+    placed = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = placed.join(hot, "cell", "left_anti").withColumns({"chunk": F.lit(0), "big": F.lit(False)}).select(*kept)
+    if hot.limit(1).count():
+        large = placed.join(hot, "cell", "left_semi")
+        by_root = large.groupBy("cell", "root").agg(F.count("*").alias("n"))
+        mixed = by_root.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        mixed = mixed.select("cell", F.col("most.root").alias("largest"), F.ceil(F.col("most.n") / CHUNK).cast("int").alias("chunks"))
+        own = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")
+        chunk = F.when(F.col("root") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+        large = large.join(mixed, "cell").withColumn("chunk", F.explode(chunk)).withColumn("big", F.col("root") == F.col("largest"))
+        spread = spread.unionByName(large.select(*kept))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def _across(flat: DataFrame, roots: DataFrame, plans: dict[int, Plan]) -> DataFr
             edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1]), [True]]))
             for p, q in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 queries = np.flatnonzero(~big[p:q])
-                if q - p < 2 or not len(queries):
+                if q - p < 2 or not len(queries) or (number[p:q] == number[p]).all():
                     continue
                 for i, j in plans[int(dimension[p])].passing(place[p:q], codes[p:q], number[p:q], queries):
                     if len(i):
@@ -210,17 +216,17 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # rows of one id are one class
     ids = drawn.select("id", "node").distinct()
     tied = ids.join(ids.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "id").select(F.col("node").alias("a"), "b")
-    hubs = flat.groupBy("cell").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("cell", "hub")
-    first = flat.select("cell", "node").join(hubs, "cell").groupBy("node").agg(F.min("hub").alias("b")).where("b <> node").select(F.col("node").alias("a"), "b")
+    hubs = cut(flat.groupBy("cell").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    first = flat.select("cell", "node").join(hubs.select("cell", "hub"), "cell").groupBy("node").agg(F.min("hub").alias("b")).where("b <> node").select(F.col("node").alias("a"), "b")
     edges = cut(_verify(first, nodes, least).union(tied), "edges")
     roots = components(edges)
-    more = cut(_verify(cut(_across(flat, roots, plans), "pairs"), nodes, least), "edges")
+    more = cut(_verify(cut(_across(flat, roots, hubs.where(F.col("n") > CHUNK).select("cell"), plans), "pairs"), nodes, least), "edges")
     final = components(edges.union(more))
     drop(roots)
     placed = ids.join(final, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("members"))
     out = placed.join(named, "root").select(F.col("id").alias("vec_id"), "class_id", "members").distinct()
     result = cut(out, "classes")
-    for table in (drawn, alike, flat, edges, more, final):
+    for table in (drawn, alike, flat, hubs, edges, more, final):
         drop(table)
     return result
