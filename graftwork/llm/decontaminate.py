@@ -5,11 +5,12 @@ A text's words are canonicalised: a number (digits, or a number word; several in
 capitalised word, or several in a row, that doesn't begin a sentence and isn't
 all capitals) is <name>; all else is the word itself in lower case. All windows
 of `window` such tokens of the benchmark's items are hashed (an item of fewer
-tokens, LEAST at least, is one window of its own length), and so are those of all documents.
+tokens is one window of its own length), and so are those of all documents. Windows that an item begins with a capitalised
+word are hashed with a name in its place as well, as it reads within a sentence.
 A document's windows are shuffled only where a Bloom filter of the items' windows, sized
 by their number, lets them pass; then they are joined by hash.
 
-A window with less than half literal words is hashed with the values of its slots, so it matches exact copies only.
+A window with less than half literal words, or of an item of fewer than LEAST tokens, is hashed with the values of its slots, so it matches exact copies only.
 
 Windows that match with the same shift between document and item form one
 alignment. In it the slots must agree: equal values of the item stand against
@@ -20,14 +21,15 @@ are at most NEAR tokens from the next are joined, the longest first, each if its
 A document is contaminated by an item where what is joined covers at least `cover` of the item's tokens, or ENOUGH tokens.
 
 Defined results: null and empty texts of either table match nothing; items
-of fewer than LEAST tokens are not
-searched for; texts of any length are searched whole; repeated documents are
+of fewer than LEAST tokens and fewer than EXACT words (which any text may hold by chance) are not
+searched for; of items that cover a text equally each is reported; texts of any length are searched whole; repeated documents are
 each reported once for each item (rows of equal id and text are one); repeated items are
 reported under each id; a null doc_id is reported as null. Other columns are ignored, and kept by decontaminate().
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ from graftwork.llm import rows
 from graftwork.llm.batches import U, Words, mix, raw, slices
 from graftwork.storage import cut
 
-WINDOW, LEAST, COVER, ENOUGH, NEAR = 8, 5, 0.5, 24, 4
+WINDOW, LEAST, EXACT, COVER, ENOUGH, NEAR = 8, 5, 4, 0.5, 24, 4
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit kelvin mph kmh kph hz khz mhz ghz w kw mw watt watts v volt volts amp amps joule joules calorie calories byte bytes kb mb gb tb".split()
 LITERAL, NUMBER, UNIT, NAME = range(4)
@@ -61,16 +63,14 @@ class Templates:
     def __init__(self, texts: pa.Array, numbers: np.ndarray, units: np.ndarray) -> None:
         w = Words(texts)
         data, n = w.data, len(w.start)
-        original, at = raw(texts)
-        if len(original) != len(data) or not np.array_equal(at, w.at):
-            original = data  # a character whose lower case has another length: names aren't told here
+        # lower case goes by character, so the n-th of both texts belong together, whatever their lengths in bytes
+        high, low = (np.frombuffer(x.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32) for x in (raw(texts)[0], data))
         pad = np.concatenate([data, np.zeros(8, np.uint8)])
-        high = np.concatenate([original, np.zeros(8, np.uint8)])
-        wide = np.where(pad[w.start] >= 0xE0, 3, np.where(pad[w.start] >= 0xC0, 2, 1))
-        differs = high != pad
-        upper = differs[w.start] | ((wide > 1) & differs[w.start + 1])
+        character = np.cumsum((data & 0xC0) != 0x80) - 1
+        differs = np.concatenate([(high != low)[character], np.zeros(8, bool)])
+        wide = np.where(pad[w.start] >= 0xF0, 4, np.where(pad[w.start] >= 0xE0, 3, np.where(pad[w.start] >= 0xC0, 2, 1)))
         second = w.start + wide
-        capital = upper & (second < w.end) & ~(differs[second] | ((pad[second] >= 0xC0) & differs[second + 1]))
+        capital = differs[w.start] & (second < w.end) & ~differs[second]
         # a word begins a sentence if it is a row's first or one of these stands before it
         ends = np.zeros(256, bool)
         ends[list(b".!?:;\n\"'([")] = True
@@ -90,19 +90,30 @@ class Templates:
         start = np.flatnonzero(~goes_on)
         rank = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
         self.value = np.add.reduceat(mix(w.hash + rank.astype(U)), start) if n else np.zeros(0, U)
-        self.kind = kind[start]
+        self.kind, self.capital = kind[start], capital[start] & (kind[start] == LITERAL)
+        self.words = np.diff(w.first)
         self.hash = np.where(self.kind == LITERAL, w.hash[start], _SLOT[self.kind])
         self.row = w.row[start]
         self.first = np.searchsorted(self.row, np.arange(len(texts) + 1))
         self.literals = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def inside(self) -> Templates:
+        """The same templates with a capitalised first word as a name, as it is where the text stands within a sentence."""
+        t = copy.copy(self)
+        first = self.first[:-1][np.diff(self.first) > 0]
+        first = first[self.capital[first]]
+        t.kind, t.hash = self.kind.copy(), self.hash.copy()
+        t.kind[first], t.hash[first] = NAME, _SLOT[NAME]
+        t.literals = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
+        return t
+
+    def windows(self, size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Where the windows of one row begin, and their hashes; of those with fewer than half literals, with the slots' values."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
         begin = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
-        dense = 2 * (self.literals[begin + size] - self.literals[begin]) < size
+        dense = (2 * (self.literals[begin + size] - self.literals[begin]) < size) | exact
         out = np.where(dense, U(size) ^ _DENSE, U(size))
         some = np.flatnonzero(dense)
         for k in range(size):
@@ -147,14 +158,17 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
         numbers, units = _set(NUMBERS), _set(UNITS)
         for batch in batches:
             for b in slices(batch):
-                t = Templates(b.column(1), numbers, units)
-                count, out = np.diff(t.first), []
-                for size in sorted({window, *count[(count >= LEAST) & (count < window)].tolist()}):
-                    begin, h = t.windows(size)
-                    for p, x in zip(begin.tolist(), h.view(np.int64).tolist()):
-                        r = int(t.row[p])
-                        if size == window or count[r] == size:
-                            out.append((r, p - int(t.first[r]), size, int(count[r]), x, t.slots(p, size), bool(2 * (t.literals[p + size] - t.literals[p]) < size)))
+                whole, out = Templates(b.column(1), numbers, units), []
+                count = np.diff(whole.first)
+                long = (count >= LEAST) | (whole.words >= EXACT)
+                for t in (whole, whole.inside()):
+                    for size in sorted({window, *count[long & (count < window)].tolist()}):
+                        begin, h = t.windows(size, size < LEAST)
+                        for p, x in zip(begin.tolist(), h.view(np.int64).tolist()):
+                            r = int(t.row[p])
+                            own = size == window or count[r] == size and long[r]
+                            if own and (t is whole or p == t.first[r] and t.kind[p] != whole.kind[p]):
+                                out.append((r, p - int(t.first[r]), size, int(count[r]), x, t.slots(p, size), bool(size < LEAST or 2 * (t.literals[p + size] - t.literals[p]) < size)))
                 r, *rest = zip(*out) if out else ((),) * 7
                 types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, types))], names=["item_id", "place", "size", "tokens", "hash", "slots", "dense"])
@@ -215,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             for b in slices(batch):
                 t, out = Templates(b.column(2), numbers, units), []
                 for size in sizes:
-                    begin, h = t.windows(size)
+                    begin, h = t.windows(size, size < LEAST)
                     some = np.flatnonzero(bloom.has(h))
                     for p, x in zip(begin[some].tolist(), h[some].view(np.int64).tolist()):
                         r = int(t.row[p])

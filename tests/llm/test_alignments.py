@@ -24,3 +24,25 @@ def test_cover_adds_up_over_shifts(found):
 
 def test_exact_copies_of_numbers_are_found(found):
     assert found[2, 2].covered == 1.0 and (3, 2) not in found and not any(d == 4 for d, _ in found)
+
+
+def test_names_beside_characters_of_other_lengths(spark):
+    """A character whose lower case has another length in bytes changes nothing for the rows beside it."""
+    import pyarrow as pa
+
+    numbers, units = decontaminate._set(decontaminate.NUMBERS), decontaminate._set(decontaminate.UNITS)
+    text = "A train leaves Boston at 60 miles per hour and meets Anna"
+    alone = decontaminate.Templates(pa.array([text]), numbers, units)
+    for other in ("\u0130stanbul lies by \u0130zmir", "STRA\u1e9eE", "300 \u212a"):
+        beside = decontaminate.Templates(pa.array([other, text]), numbers, units)
+        assert beside.kind[beside.first[1] :].tolist() == alone.kind.tolist() and beside.value[beside.first[1] :].tolist() == alone.value.tolist()
+    assert (alone.kind == decontaminate.NAME).sum() == 2
+    odd = decontaminate.Templates(pa.array(["we saw \u0130stanbul today"]), numbers, units)
+    assert odd.kind.tolist() == [0, 0, decontaminate.NAME, 0]
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Compute 17 * 23 - 45 + 9 now"), (2, "Paris lies on the river Seine"), (3, "Yes")], "item_id LONG, text STRING")
+    docs = [(1, "please compute 17 * 23 - 45 + 9 now or never"), (2, "please compute 18 * 23 - 45 + 9 now or never"), (3, "they say that Paris lies on the river Seine and so on"), (4, "yes, that is so")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id LONG, text STRING"), items).collect()}
+    assert {(1, 1), (3, 2)} == got
