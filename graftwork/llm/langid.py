@@ -3,8 +3,8 @@
 Each model is trained on a bounded sample of labelled rows (at most
 `train_docs` of each language, those with the smallest hash of id and text),
 and its threshold is calibrated on as many other rows. Texts are lower-cased;
-white space counts as one kind of symbol, digits as another, and the 250 most
-frequent characters of the sample as themselves; all else is one symbol.
+white space counts as one kind of symbol, digits as another, and every other character of any
+script as itself; the lowest order is interpolated with one share for each symbol of the sample and one for all others.
 
 The n-grams of a model lie in arrays sorted by a 64-bit hash, one for each
 order, with their interpolated log-probability, and contexts likewise with
@@ -28,6 +28,7 @@ Unlabelled rows (null lang) take no part in training. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftwork.llm.batches import U, mix, raw, slices
+from graftwork.llm.rows import BROADCAST_KEYS
+from graftwork.storage import cut, drop
 
 ORDER = 5
 TRAIN_DOCS = 400
 FALSE_REJECTS = 0.001
 LEAST_Z = 5.0
-_BITS = 8
 #: Bytes of text that are scored at once: each takes some hundred of memory.
 _SLICE = 500_000
 
@@ -77,61 +79,54 @@ class HashArray:
         return out
 
 
-class Symbols:
-    """Maps characters to symbols below 256; 0 pads the start of a text."""
+@lru_cache(maxsize=1)
+def _symbols() -> np.ndarray:
+    """Of each character of the basic plane, itself, but one for white space and one for digits."""
+    table = np.arange(0x10000, dtype=np.uint32)
+    for c in (*range(9, 14), 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000):
+        table[c] = 32
+    table[48:58] = 48
+    return table
 
-    def __init__(self, texts: pa.Array | None = None) -> None:
-        self.table = np.full(0x10000, 1, np.uint8)
-        for c in (*range(9, 14), 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000):
-            self.table[c] = 2
-        self.table[48:58] = 3
-        if texts is not None:
-            points = self._points(texts)[0]
-            seen, count = np.unique(points[points < 0x10000], return_counts=True)
-            seen = seen[np.lexsort((seen, -count))]
-            seen = seen[self.table[seen] == 1][:250]
-            self.table[seen] = np.arange(4, 4 + len(seen))
 
-    @staticmethod
-    def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Grams:
+    """By order, keys[k] of the k symbols that end with each character, and contexts[k] of the k - 1 before it; and the characters of each text. 0 pads the start of a text."""
+
+    def __init__(self, texts: pa.Array) -> None:
         low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        data, _ = raw(low)
-        return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), pc.utf8_length(low).to_numpy().astype(np.int64)
-
-    def keys(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each character the ORDER symbols that end with it in one integer; and the characters of each text."""
-        points, count = self._points(texts)
-        pad = ORDER - 1
-        ids = np.where(points < 0x10000, self.table[np.minimum(points, 0xFFFF)], np.uint8(1))
-        place = np.arange(len(ids)) + pad * (np.repeat(np.arange(len(count)), count) + 1)
-        line = np.zeros(len(ids) + pad * (len(count) + 1), U)
-        line[place] = ids
-        key = line.copy()
-        for k in range(1, ORDER):
-            key[k:] |= line[:-k] << U(_BITS * k)
-        return key[place], count
-
-
-def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys & U((1 << (_BITS * order)) - 1)
-
-
-def kneser_ney(keys: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
-    """Sorted keys and log2-probabilities by order, and sorted contexts and log2 back-off weights by order, from 1."""
-    seen, count = np.unique(keys, return_counts=True)
-    by_order = {ORDER: (seen, count)}
+        points = np.frombuffer(raw(low)[0].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.count, pad = pc.utf8_length(low).to_numpy().astype(np.int64), ORDER - 1
+        place = np.arange(len(points)) + pad * (np.repeat(np.arange(len(self.count)), self.count) + 1)
+        line = np.zeros(len(points) + pad * (len(self.count) + 1), U)
+        line[place] = np.where(points < 0x10000, _symbols()[np.minimum(points, 0xFFFF)], points)
+        self.keys, self.contexts = [np.zeros(len(points), U)], [np.zeros(len(points), U)]
+        key = np.zeros(len(line), U)
+        for k in range(1, ORDER + 1):
+            self.contexts.append(key[place - 1] if k > 1 else self.keys[0])
+            before = np.concatenate([np.zeros(k - 1, U), line[: len(line) - k + 1]])
+            key = mix(key * U(0x9E3779B97F4A7C15) + before + U(k << 32))
+            self.keys.append(key[place])
+
+
+def kneser_ney(g: Grams, base: float) -> tuple[list[tuple[np.ndarray, ...]], list[tuple[np.ndarray, np.ndarray]]]:
+    """By order, from 1: sorted keys, log2-probabilities, suffixes and contexts of the n-grams; and sorted contexts and log2 back-off weights. base: the share of a symbol below all orders."""
+    _, at, count = np.unique(g.keys[ORDER], return_index=True, return_counts=True)
+    by_order = {ORDER: (at, count)}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = np.unique(_suffix(by_order[k + 1][0], k), return_counts=True)
+        above = by_order[k + 1][0]
+        _, first, count = np.unique(g.keys[k][above], return_index=True, return_counts=True)
+        by_order[k] = above[first], count
     grams, contexts = [], []
     for k in range(1, ORDER + 1):
-        g, c = by_order[k]
+        at, c = by_order[k]
+        key, suffix, around = g.keys[k][at], g.keys[k - 1][at], g.contexts[k][at]
         ones, twos = int((c == 1).sum()), int((c == 2).sum())
         d = ones / (ones + 2 * twos) if ones and twos else 0.5
-        h, inverse, types = np.unique(g >> U(_BITS), return_inverse=True, return_counts=True)
+        h, inverse, types = np.unique(around, return_inverse=True, return_counts=True)
         total = np.bincount(inverse, weights=c)
         weight = d * types / total
-        lower = 1 / 256 if k == 1 else np.exp2(grams[-1][1][np.searchsorted(grams[-1][0], _suffix(g, k - 1))])
-        grams.append((g, np.log2((c - d) / total[inverse] + weight[inverse] * lower)))
+        lower = base if k == 1 else np.exp2(grams[-1][1][np.searchsorted(grams[-1][0], suffix)])
+        grams.append((key, np.log2((c - d) / total[inverse] + weight[inverse] * lower), suffix, around))
         contexts.append((h, np.log2(weight)))
     return grams, contexts
 
@@ -141,25 +136,23 @@ class Models:
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.langs = sorted(texts)
-        self.symbols = Symbols(pa.array([t for x in self.langs for t in texts[x]], pa.large_string()))
-        own = [kneser_ney(self.symbols.keys(pa.array(texts[x], pa.large_string()))[0]) for x in self.langs]
-        # order 1 is dense: every symbol has a probability in every language
-        base = np.empty((256, len(own)), np.float64)
-        for j, (grams, contexts) in enumerate(own):
-            base[:, j] = contexts[0][1][0] - 8
-            base[grams[0][0].astype(int), j] = grams[0][1]
-        self.base, below_keys, below = base.astype(np.float32), np.arange(256, dtype=U), base
+        every = [Grams(pa.array(texts[x], pa.large_string())) for x in self.langs]
+        base = 1 / (len(np.unique(np.concatenate([g.keys[1] for g in every]))) + 1)
+        own = [kneser_ney(g, base) for g in every]
+        self.base = np.full((1, len(own)), np.log2(base), np.float32)
+        below_keys, below = np.zeros(1, U), np.full((1, len(own)), np.log2(base))
         self.grams: list[tuple[HashArray, np.ndarray]] = []
         self.contexts: list[tuple[HashArray, np.ndarray]] = []
-        for k in range(2, ORDER + 1):
-            union = np.unique(np.concatenate([g[k - 1][0] for g, _ in own]))
-            around = np.unique(np.concatenate([c[k - 1][0] for _, c in own]))
+        for k in range(ORDER):
+            union, at = np.unique(np.concatenate([g[k][0] for g, _ in own]), return_index=True)
+            suffix, context = (np.concatenate([g[k][i] for g, _ in own])[at] for i in (2, 3))
+            around = np.unique(np.concatenate([c[k][0] for _, c in own]))
             back = np.zeros((len(around), len(own)))
             for j, (_, c) in enumerate(own):
-                back[np.searchsorted(around, c[k - 1][0]), j] = c[k - 1][1]
-            value = back[np.searchsorted(around, union >> U(_BITS))] + below[np.searchsorted(below_keys, _suffix(union, k - 1))]
+                back[np.searchsorted(around, c[k][0]), j] = c[k][1]
+            value = back[np.searchsorted(around, context)] + below[np.searchsorted(below_keys, suffix)]
             for j, (g, _) in enumerate(own):
-                value[np.searchsorted(union, g[k - 1][0]), j] = g[k - 1][1]
+                value[np.searchsorted(union, g[k][0]), j] = g[k][1]
             below_keys, below = union, value
             for to, key, v in ((self.grams, union, value), (self.contexts, around, back)):
                 hashed = HashArray(key)
@@ -167,28 +160,29 @@ class Models:
                 del hashed.order
         self.fit: list[tuple[float, float, float, float]] = [(0.0, 0.0, 0.0, np.inf)] * len(own)
 
-    def _score(self, keys: np.ndarray, k: int) -> np.ndarray:
-        if k == 1:
-            return self.base[keys.astype(np.int64)]
-        table, value = self.grams[k - 2]
-        at = table.find(keys)
+    def _score(self, g: Grams, k: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        if k == 0:
+            return self.base
+        table, value = self.grams[k - 1]
+        at = table.find(g.keys[k][rows])
         out = value[at]
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            some = keys[missing]
-            rest = self._score(_suffix(some, k - 1), k - 1)
-            table, value = self.contexts[k - 2]
-            at = table.find(some >> U(_BITS))
+            some = missing if isinstance(rows, slice) else rows[missing]
+            rest = self._score(g, k - 1, some)
+            table, value = self.contexts[k - 1]
+            at = table.find(g.contexts[k][some])
             out[missing] = rest + np.where((at >= 0)[:, None], value[at], np.float32(0))
         return out
 
     def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits per character, by text and language; and each text's characters."""
-        keys, count = self.symbols.keys(texts)
+        g = Grams(texts)
+        count = g.count
         out = np.full((len(count), len(self.langs)), np.nan)
         full = np.flatnonzero(count)
         if len(full):
-            score, begin = self._score(keys, ORDER), (np.cumsum(count) - count)[full]
+            score, begin = self._score(g, ORDER), (np.cumsum(count) - count)[full]
             for j in range(len(self.langs)):
                 out[full, j] = -np.add.reduceat(score[:, j].astype(np.float64), begin) / count[full]
         return out, count
@@ -219,10 +213,12 @@ class Models:
 def sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
     """At most so many labelled rows of each language, those of the smallest hash: (lang, rank, text), ordered."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("id", F.length("text"), F.substring("text", 1, 64)))
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("id", "text"))
     ranked = docs.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
-    chosen = ranked.groupBy("lang", "h").agg(F.min("r").alias("r"))
-    rows = docs.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "r", "text").dropDuplicates(["lang", "r"]).collect()
+    chosen = cut(ranked.groupBy("lang", "h").agg(F.min("r").alias("r")), "sample")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+    rows = docs.join(few, ["lang", "h"]).select("lang", "r", "text").dropDuplicates(["lang", "r"]).collect()
+    drop(chosen)
     return sorted((r.lang, r.r, r.text) for r in rows)
 
 

@@ -281,6 +281,53 @@ def test_language_rejects_noise(documents):
     assert sum(models.decide(noise)[2]) <= 2
 
 
+def _kneser_ney_by_hand(text, order, base):
+    """Interpolated Kneser-Ney with dictionaries: a function of context and symbol."""
+    sequence = "\0" * (order - 1) + re.sub(r"\s", " ", re.sub(r"[0-9]", "0", text.lower()))
+    counts = {order: Counter(sequence[i - order + 1 : i + 1] for i in range(order - 1, len(sequence)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def probability(context, symbol):
+        k = len(context) + 1
+        c = counts[k]
+        ones, twos = (sum(v == n for v in c.values()) for n in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        lower = probability(context[1:], symbol) if k > 1 else base
+        around = {g: v for g, v in c.items() if g[:-1] == context}
+        if not around:
+            return lower
+        total = sum(around.values())
+        return (max(c[context + symbol] - d, 0) if context + symbol in c else 0) / total + d * len(around) / total * lower
+
+    return probability
+
+
+def test_kneser_ney_by_dictionaries():
+    texts = {"a": "The cat sat on the mat. The rat sat at 12 and 7.", "b": "\u6f22\u5b57\u4eee\u540d\u4ea4\u3058\u308a\u6587 \u6f22\u5b57 \U00020000\U00020000"}
+    models = langid.Models({k: [t] for k, t in texts.items()})
+    symbols = {c for t in texts.values() for c in re.sub(r"[0-9]", "0", t.lower())}
+    base = 1 / (len(symbols) + 1)
+    for probe in ("the hat", "That 99 zebras", "\u6f22\u5b57 cat", "\U00020000\u540d", "q"):
+        got = models.bits(pa.array([probe]))[0][0]
+        line = "\0" * (langid.ORDER - 1) + re.sub(r"[0-9]", "0", probe.lower())
+        for j, lang in enumerate(models.langs):
+            p = _kneser_ney_by_hand(texts[lang], langid.ORDER, base)
+            want = -sum(math.log2(p(line[i - langid.ORDER + 1 : i], line[i])) for i in range(langid.ORDER - 1, len(line))) / len(probe)
+            assert got[j] == pytest.approx(want, rel=1e-4), (probe, lang)
+
+
+def test_languages_of_one_script(spark):
+    """Texts whose characters differ only beyond the commonest few hundred."""
+    g = random.Random(4)
+    shapes = {lang: [chr(0x4E00 + at + i) for i in range(1500)] for lang, at in (("x", 0), ("y", 1000), ("z", 2000))}
+    rows = [(i, "".join(g.choice(shapes[lang]) for _ in range(80)), lang) for i, lang in enumerate(g.choice("xyz") for _ in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    models = langid.train(docs.where("doc_id < 300"))
+    got = {r.doc_id: r.nearest for r in langid.identify(docs.where("doc_id >= 300"), models).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows if i >= 300) >= 95
+
+
 # 8
 
 
