@@ -1,9 +1,11 @@
 """A gated recurrent language model in numpy, trained on the corpus and scoring every document whole.
 
 Tokens are words (runs of letters and digits, in lower case); the end of a text is one
-more. The vocabulary is the most frequent words of all documents; any other word
-is "unknown" and costs, besides, its spelling under a byte-bigram model, which is counted
-over all documents too. So every text has a proper log-likelihood.
+more. The vocabulary is the VOCABULARY most frequent words of all documents; any other word
+is "unknown" and costs, besides, its spelling under a byte-bigram model. What stands between words, before the first and after
+the last (punctuation, symbols, white space) costs its bytes under a second byte-bigram model, and a word's capitals the
+share of their kind (none, the first letter, all, or any others, which cost a bit a letter more). All these are counted
+over all documents too. So every byte of a text has its part in a proper log-likelihood.
 
 The output softmax is factored by classes: p(word) = p(class) p(word | class);
 end and unknown are classes of their own, the other words fall by frequency into
@@ -11,15 +13,16 @@ classes of about equal sums of root frequencies, so a token costs two short soft
 
 Training goes over all documents once, in ROUNDS rounds that take each its share of
 them by hash. In a round every task trains a replica on its documents, in parallel streams
-with truncated backpropagation (the state goes on from window to window, gradients don't; it is
-reset where a text begins), and the replicas are averaged by their tokens, in
+with truncated backpropagation (the state goes on from window to window, gradients don't; a stream takes a
+whole text after the other, from the first token to the last, with an empty state for each), and the replicas are averaged by their tokens, in
 two levels. What is gathered - word counts, spellings, replicas - so grows with the corpus.
 
 Scoring runs all documents of a batch in step, longest first, each with its
 state from the first token to the last, and takes the softmaxes of many steps at once.
 
 Defined results: null text counts as empty; an empty text is its end alone;
-texts of any length are scored whole; repeated rows are scored each; an empty
+texts of any length are learned and scored whole; repeated rows are scored each; of words as frequent
+as the vocabulary's last the least hashes are in it; an empty
 table has no rows. Other columns are ignored. Results depend slightly on how
 the rows lie in files, as a replica sees those of its task.
 """
@@ -30,25 +33,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, Words, slices
+from graftwork.llm.batches import U, Words, raw, slices
 from graftwork.storage import cut, drop
 
 VOCABULARY, HIDDEN, CLASSES = 2000, 24, 32
 STREAMS, WINDOW, RATE, ROUNDS = 512, 16, 0.01, 2
 #: Tokens whose softmaxes are taken at once.
 AT_ONCE = 8192
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 32_000_000
 #: Rows that go into one replica's part of an average; parts of parameters are rows.
 FAN = 64
 END, UNKNOWN = 0, 1
 
 
+#: Kinds of a word's capitals.
+SMALL, FIRST, ALL, OTHER = range(4)
+
+
 class Lexicon:
-    """Ids of words by hash, their classes, and the byte-bigram log-probabilities of spellings."""
+    """Ids of words by hash, their classes, and the log-probabilities of spellings, of what stands between words and of capitals."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, words: int, bigrams: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, words: int, bigrams: np.ndarray, gaps: np.ndarray, cases: np.ndarray) -> None:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         size = len(hashes) + 2
@@ -59,8 +69,8 @@ class Lexicon:
         self.start = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
         share = np.concatenate([[texts], [max(words - counts.sum(), 1)], counts]).astype(float) + 1
         self.unigram = np.log(share / share.sum()).astype(np.float32)
-        smooth = bigrams.astype(float) + 0.01
-        self.spelling = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
+        self.spelling, self.gaps = (np.log((x + 0.01) / (x + 0.01).sum(1, keepdims=True)).astype(np.float32) for x in (bigrams.astype(float), gaps.astype(float)))
+        self.cases = np.log((cases + 1) / (cases + 1).sum())
         self.size = size
 
     def ids(self, words: Words) -> np.ndarray:
@@ -80,6 +90,47 @@ class Lexicon:
         own = step[words.end] - step[words.start + 1] + self.spelling[0, data[words.start]] + self.spelling[data[words.end - 1], 0] if len(ids) else np.zeros(0)
         return np.bincount(words.row, np.where(ids == UNKNOWN, own, 0.0), len(words.at) - 1)
 
+    def rest(self, words: Words, column: pa.Array) -> np.ndarray:
+        """By row: log-probability of what stands between its words, and of its words' capitals."""
+        pair, first, last = between(words)
+        value = np.append(self.gaps.reshape(-1), np.float32(0)).astype(np.float64)  # at -1: nothing
+        total = np.concatenate([[0.0], np.cumsum(value[pair])])
+        out = total[words.at[1:]] - total[words.at[:-1]] + value[first] + value[last]
+        kind, size = capitals(words, column)
+        return out + np.bincount(words.row, self.cases[kind] - np.where(kind == OTHER, size * np.log(2), 0.0), len(words.at) - 1)
+
+
+def between(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of bytes of what stands between words, 0 at its ends, as one number each; the pairs before each byte, and two more a row: of its first gap where that is empty, and of the end of its last."""
+    data, n = words.data, len(words.data)
+    inside = np.zeros(n + 1, np.int8)
+    np.add.at(inside, words.start, 1)
+    np.add.at(inside, words.end, -1)
+    gap = np.cumsum(inside[:-1]) == 0
+    byte = np.where(gap, data, 0).astype(np.int64)
+    begins = words.at[:-1][np.diff(words.at) > 0]
+    before, was = np.zeros(n, np.int64), np.zeros(n, bool)
+    before[1:], was[1:] = byte[:-1], gap[:-1]
+    before[begins], was[begins] = 0, False
+    pair = np.where(gap | was, before * 256 + byte, -1)
+    full = np.diff(words.at) > 0
+    last = np.zeros(len(full), np.int64)
+    last[full] = byte[words.at[1:][full] - 1] * 256
+    word_first = np.zeros(len(full), bool)
+    word_first[full] = ~gap[words.at[:-1][full]]
+    return pair, np.where(word_first, 0, -1), last
+
+
+def capitals(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each word's capitals, and its characters."""
+    high, low = (np.frombuffer(x.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32) for x in (raw(column)[0], words.data))
+    character = np.cumsum((words.data & 0xC0) != 0x80)
+    ends = np.concatenate([[0], character])
+    seen = np.concatenate([[0], np.cumsum(high != low)])
+    a, b = ends[words.start], ends[words.end]
+    upper, first = seen[b] - seen[a], seen[np.minimum(a + 1, len(seen) - 1)] - seen[a]
+    return np.where(upper == 0, SMALL, np.where((upper == 1) & (first == 1), FIRST, np.where(upper == b - a, ALL, OTHER))), b - a
+
 
 def _bigrams(words: Words) -> np.ndarray:
     """Counts of byte pairs within words, 0 before and after each."""
@@ -100,7 +151,7 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
     """From all documents: words are counted by task and then together, and so are the bigrams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, texts, held = np.zeros(65536, np.int64), 0, []
+        pairs, gaps, cases, texts, held = np.zeros(65536, np.int64), np.zeros(65537, np.int64), np.zeros(4, np.int64), 0, []
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
             h, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
@@ -114,6 +165,9 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
             for b in slices(batch):
                 w = Words(b.column(0))
                 pairs += _bigrams(w)
+                for x in between(w):
+                    gaps += np.bincount(x + 1, minlength=65537)
+                cases += np.bincount(capitals(w, b.column(0))[0], minlength=4)
                 texts += b.num_rows
                 held.append(np.unique(w.hash, return_counts=True))
                 if len(held) > 16:
@@ -127,17 +181,20 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
         some = np.flatnonzero(pairs)
         yield rows(1, some, pairs[some])
         yield rows(2, np.zeros(1, np.int64), np.array([texts]))
+        some = np.flatnonzero(gaps[1:])
+        yield rows(3, some, gaps[1:][some])
+        yield rows(4, np.arange(4), cases)
 
     text = docs.select(docs["text"])
     counted = cut(text.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "word-counts")
     top = counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(most).collect()
-    rest = counted.where("kind = 1").collect()
+    rest = counted.where("kind IN (1, 3, 4)").collect()  # at most 2 * 65536 + 4
     about = {r.kind: int(r.n or 0) for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     drop(counted)
-    bigrams = np.zeros(65536, np.int64)
+    tables = {1: np.zeros(65536, np.int64), 3: np.zeros(65536, np.int64), 4: np.zeros(4, np.int64)}
     for r in rest:
-        bigrams[r.key] = r.n
-    return Lexicon(np.array([r.key for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64), about.get(2, 0), about.get(0, 0), bigrams.reshape(256, 256))
+        tables[r.kind][r.key] = r.n
+    return Lexicon(np.array([r.key for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64), about.get(2, 0), about.get(0, 0), tables[1].reshape(256, 256), tables[3].reshape(256, 256), tables[4])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -223,8 +280,8 @@ class Network:
                 dh[i] += f @ w
         return out, dh
 
-    def window(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """One window of all streams, [steps, streams]: its log-likelihood, the gradients of the mean loss, and the state it ends with."""
+    def window(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, over: float | None = None) -> tuple[float, dict, np.ndarray]:
+        """One window of all streams, [steps, streams], targets below 0 being none: its log-likelihood, the gradients of the loss over `over` (the mean by default), and the state it ends with."""
         p, n, (steps, streams) = self.p, self.hidden, ids.shape
         x = self.gates()[ids]
         kept, states = [], np.empty((steps, streams, n), np.float32)
@@ -234,7 +291,10 @@ class Network:
             kept.append((h, *rest))
             states[t] = h = new
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        scores, d = self.losses(states.reshape(-1, n), target.ravel(), grad)
+        some = np.flatnonzero(target.ravel() >= 0)
+        scores, own = self.losses(states.reshape(-1, n)[some], target.ravel()[some], grad)
+        d = np.zeros((steps * streams, n), np.float32)
+        d[some] = own
         d = d.reshape(steps, streams, n)
         dx = np.empty_like(x)
         back = np.zeros((streams, n), np.float32)
@@ -260,20 +320,17 @@ class Network:
         grad["wx"] += p["embed"].T @ by_word
         grad["bx"] += flat.sum(0)
         for v in grad.values():
-            v /= target.size
+            v /= over or max(1, len(some))
         return float(scores.sum()), grad, h
 
-    def train(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, moments: dict, rate: float = RATE) -> float:
-        """One pass over a sequence of texts, cut into streams; Adam. moments is kept between calls."""
-        streams = max(1, min(STREAMS, len(ids) // (4 * WINDOW)))
-        length = len(ids) // streams
-        shape = lambda x: np.ascontiguousarray(x[: streams * length].reshape(streams, length).T)
-        ids, target, fresh = shape(ids), shape(target), shape(fresh).astype(np.float32)
-        h, total = np.zeros((streams, self.hidden), np.float32), 0.0
-        for at in range(0, length, WINDOW):
-            part = slice(at, at + WINDOW)
-            score, grad, h = self.window(ids[part], target[part], fresh[part], h)
-            total += score
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], moments: dict, rate: float = RATE) -> tuple[float, int]:
+        """One pass over texts (ids and where each begins, as _tokens() has them) with Adam: their log-likelihood and tokens. moments is kept between calls."""
+        h, total, tokens, full = None, 0.0, 0, 1
+        for ids, target, fresh, kept in windows(batches):
+            if h is None:
+                h, full = np.zeros((ids.shape[1], self.hidden), np.float32), ids.size
+            score, grad, h = self.window(ids, target, fresh, h[kept], full)
+            total, tokens = total + score, tokens + int((target >= 0).sum())
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             k = moments["steps"] = moments.get("steps", 0) + 1
             scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
@@ -284,7 +341,7 @@ class Network:
                 m += np.float32(0.1) * (g - m)
                 v += np.float32(0.01) * (g * g - v)
                 self.p[name] -= size * m / (np.sqrt(v) + np.float32(1e-6))
-        return total
+        return total, tokens
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log-likelihood of each text's words and its end, the words of text i being ids[first[i]:first[i + 1]]."""
@@ -319,7 +376,7 @@ class Network:
 
 
 def _tokens(column: pa.Array, lexicon: Lexicon, spell: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all rows, where each row's begin, and the log-probability of its spellings."""
+    """Ids of all rows, where each row's begin, and the log-probability of its spellings, capitals and what stands between its words."""
     ids, sizes, spelled = [], [], []
     for b in slices(pa.RecordBatch.from_arrays([column], names=["text"])):
         w = Words(b.column(0))
@@ -327,21 +384,70 @@ def _tokens(column: pa.Array, lexicon: Lexicon, spell: bool) -> tuple[np.ndarray
         ids.append(i)
         sizes.append(np.diff(w.first))
         if spell:
-            spelled.append(lexicon.spelled(w, i))
+            spelled.append(lexicon.spelled(w, i) + lexicon.rest(w, b.column(0)))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return join(ids, np.int32), np.concatenate([[0], np.cumsum(join(sizes, np.int64))]), join(spelled, float)
 
 
 def sequence(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts one after another: inputs (the end, then the words), targets (the words, then the end), 0 where a text begins."""
+    """Texts one after another: inputs (the end, then the words), targets (the words, then the end), and where each text begins, and the last ends."""
     count = np.diff(first)
-    at = first[:-1] + np.arange(len(count))  # where each text's input begins
     n = len(ids) + len(count)
-    source, target, fresh = np.full(n, END, np.int32), np.full(n, END, np.int32), np.ones(n, np.int8)
-    fresh[at] = 0
+    source, target = np.full(n, END, np.int32), np.full(n, END, np.int32)
     place = np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)
     target[place], source[place + 1] = ids, ids
-    return source, target, fresh
+    return source, target, first + np.arange(len(first))
+
+
+def windows(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Inputs, targets (below 0 where a stream has no more), 0 where a text begins, each [WINDOW, streams]; and which of the streams before are still there.
+
+    A stream takes one text after the other, whole; what is left of a batch goes on with the next one.
+    """
+    batches = iter(batches)
+    source = target = np.zeros(0, np.int32)
+    at = end = np.zeros(0, np.int64)
+    queue, ahead, streams, more = [], 0, 0, True
+    while True:
+        while more and ahead < max(streams, 1) * WINDOW:
+            batch = next(batches, None)
+            if batch is None:
+                more = False
+                break
+            x, y, first = sequence(*batch)
+            left = [*zip(at.tolist(), end.tolist()), *queue]
+            size = np.cumsum([0] + [b - a for a, b in left])
+            source, target = (np.concatenate([*(old[a:b] for a, b in left), new]) for old, new in ((source, x), (target, y)))
+            at, end = size[: len(at)], size[1 : len(at) + 1]
+            queue = [*zip(size[len(at) : -1].tolist(), size[len(at) + 1 :].tolist()), *zip((first[:-1] + size[-1]).tolist(), (first[1:] + size[-1]).tolist())]
+            ahead = sum(b - a for a, b in queue)
+            if not streams and queue:
+                streams = min(STREAMS, len(queue))
+                at = end = np.zeros(streams, np.int64)
+        kept = np.arange(len(at))
+        if not more and not queue:  # streams end
+            kept = np.flatnonzero(at < end)
+            at, end = at[kept], end[kept]
+        if not len(at):
+            return
+        steps = np.arange(WINDOW)[:, None]
+        place = np.minimum(at + steps, len(source) - 1)
+        inside = at + steps < end
+        ids, goal, fresh = source[place], np.where(inside, target[place], -1), np.ones((WINDOW, len(at)), np.float32)
+        at = at + WINDOW
+        short, taken = np.flatnonzero(at >= end), 0
+        for k in short.tolist():
+            t = WINDOW - int(at[k] - end[k])
+            at[k] = end[k]
+            while t < WINDOW and taken < len(queue):
+                a, b = queue[taken]
+                taken += 1
+                n = min(WINDOW - t, b - a)
+                ids[t : t + n, k], goal[t : t + n, k], fresh[t, k] = source[a : a + n], target[a : a + n], 0
+                t, at[k], end[k] = t + n, a + n, b
+                ahead -= b - a
+        queue = queue[taken:]
+        yield ids, goal, fresh, kept
 
 
 def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, hidden: int = HIDDEN) -> Network:
@@ -352,14 +458,8 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, h
         part = docs.select("text").where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(rounds)) == turn)
 
         def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            moments: dict = {}
-            seen = 0
-            for b in batches:
-                ids, first, _ = _tokens(b.column(0), network.lexicon, False)
-                if b.num_rows:
-                    x, y, fresh = sequence(ids, first)
-                    network.train(x, y, fresh, moments)
-                    seen += len(x)
+            texts = (_tokens(b.column(0), network.lexicon, False)[:2] for b in batches if b.num_rows)
+            seen = network.train(texts, {})[1]
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([network.flat().tobytes()], pa.binary())], names=["tokens", "flat"])
 
@@ -383,15 +483,17 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, h
 
 
 def score(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """doc_id, n_tokens (words and the end), log_likelihood (natural) and bits_per_token of each row."""
+    """doc_id, n_tokens (words and the end), log_likelihood (natural), bits_per_token and bits_per_byte (null for empty texts) of each row."""
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     model = network or train(narrow, **options)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, first, spelled = _tokens(b.column(1), model.lexicon, True)
-            n = np.diff(first) + 1
-            total = model.score(ids, first) + spelled
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(-total / n / np.log(2))], names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token"])
-
-    return narrow.mapInArrow(kernel, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double")
+        for batch in batches:
+            for b in slices(batch, most=SCORED_BYTES):
+                ids, first, spelled = _tokens(b.column(1), model.lexicon, True)
+                n, size = np.diff(first) + 1, pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+                bits = -(model.score(ids, first) + spelled) / np.log(2)
+                by_byte = pa.array(bits / np.maximum(size, 1), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(-bits * np.log(2)), pa.array(bits / n), by_byte], names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token", "bits_per_byte"])
+
+    return narrow.mapInArrow(kernel, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double, bits_per_byte double")

@@ -263,6 +263,82 @@ def test_scores_are_steps_in_a_row(spark):
     assert lm.score(docs, net).first().log_likelihood == pytest.approx(total, rel=1e-4)
 
 
+def test_streams_take_every_token(monkeypatch):
+    """Windows of streams hold each text whole, in order, and nothing else."""
+    monkeypatch.setattr(lm, "STREAMS", 5)
+    g = np.random.default_rng(2)
+    texts = [g.integers(2, 90, n).astype(np.int32) for n in [0, 1, 15, 16, 17, 300, 3, 0, 40] * 6]
+    batches = [(np.concatenate([*part, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)) for part in (texts[:3], [], texts[3:40], texts[40:])]
+    lines, got = None, []
+    for ids, target, fresh, kept in lm.windows(iter(batches)):
+        lines = [[] for _ in kept] if lines is None else [lines[k] for k in kept]
+        for k, line in enumerate(lines):
+            for x, y, f in zip(ids[:, k], target[:, k], fresh[:, k]):
+                if y >= 0:
+                    if f == 0:
+                        line.clear()
+                    assert x == (line[-1] if line else lm.END)
+                    line.append(int(y))
+                    if y == lm.END:
+                        got.append(tuple(line[:-1]))
+    assert sorted(got) == sorted(tuple(t.tolist()) for t in texts)
+
+
+def test_backpropagation_against_differences():
+    hashes = np.arange(1, 13, dtype=np.uint64)
+    lexicon = lm.Lexicon(hashes, np.arange(12, 0, -1), 5, 100, np.ones((256, 256)), np.ones((256, 256)), np.ones(4))
+    net, g = lm.Network(lexicon, 5), np.random.default_rng(3)
+    net.p = {k: g.standard_normal(v.shape) * 0.5 for k, v in net.p.items()}  # in double precision
+    ids, target = (g.integers(0, lexicon.size, (6, 3)).astype(np.int32) for _ in range(2))
+    target[4:, 1] = -1
+    fresh = np.ones((6, 3))
+    fresh[0], fresh[3, 2] = 0, 0
+    h = np.zeros((3, 5))
+    _, grad, _ = net.window(ids, target, fresh, h)
+    n = (target >= 0).sum()
+    for name, x in net.p.items():
+        for at in {tuple(int(g.integers(0, d)) for d in x.shape) for _ in range(12)}:
+            was, step = x[at], 1e-4
+            x[at] = was + step
+            up = net.window(ids, target, fresh, h)[0]
+            x[at] = was - step
+            down = net.window(ids, target, fresh, h)[0]
+            x[at] = was
+            assert grad[name][at] == pytest.approx(-(up - down) / (2 * step) / n, abs=2e-4, rel=2e-2), (name, at)
+
+
+def test_all_bytes_are_scored():
+    """What stands between words and their capitals, by hand."""
+    texts = ["", "a b", " (One) TWO, mcX!", "?!", "\u00c9t\u00e9 \u0130x"]
+    column = pa.array(texts)
+    words = lm.Words(column)
+    gaps = np.random.default_rng(5).integers(1, 50, (256, 256))
+    lexicon = lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1, np.ones((256, 256)), gaps, np.array([5, 3, 2, 1]))
+    got = lexicon.rest(words, column)
+    p = (gaps + 0.01) / (gaps + 0.01).sum(1, keepdims=True)
+    case = (np.array([5, 3, 2, 1]) + 1) / 15
+    for i, t in enumerate(texts):
+        parts = re.split(r"[^\W_]+", t)
+        want = sum(math.log(p[a, b]) for gap in parts for a, b in zip(b"\0" + gap.encode(), gap.encode() + b"\0"))
+        for w in re.findall(r"[^\W_]+", t):
+            upper = [c != c.lower() for c in w]
+            kind = 0 if not any(upper) else 1 if upper[0] and sum(upper) == 1 else 2 if all(upper) else 3
+            want += math.log(case[kind]) - (len(w) * math.log(2) if kind == 3 else 0)
+        assert got[i] == pytest.approx(want, rel=1e-5), t
+    every = sum(np.bincount(x + 1, minlength=65537) for x in lm.between(words))[1:]
+    assert every.sum() == sum(len(g) + 1 for t in texts for g in re.split(r"[^\W_]+", t))
+
+
+def test_junk_scores_lower_than_prose(documents):
+    docs = documents.where("text is not null and length(text) > 200").limit(150)
+    net = lm.train(docs, vocabulary=300, rounds=1, hidden=16)
+    text = docs.first().text
+    junk = text.replace(" ", " #$%^ ")
+    spark = docs.sparkSession
+    a, b = (lm.score(spark.createDataFrame([(1, t)], "doc_id LONG, text STRING"), net).first().log_likelihood for t in (text, junk))
+    assert b < a
+
+
 # 7
 
 
