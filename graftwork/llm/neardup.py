@@ -286,12 +286,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     idf = frequencies(docs, text_col)
     found = cut(sketches(docs, idf, id_col, text_col), "sketches")
     order = F.struct((F.col("key_id") == rows._NO_ID).alias("no_id"), "key_id", "key_text")
-    nodes = found.groupBy("node").agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
-    flat = nodes.select("node", "least", F.explode("bands").alias("band"))
+    nodes = cut(found.groupBy("node").agg(F.min(order).alias("least"), F.first("bands").alias("bands")), "nodes")
+    flat = nodes.select("node", F.explode("bands").alias("band"))
     # counts of a bucket are partial before the shuffle, and the join splits a large one
     hubs = flat.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    members = cut(flat.join(hubs, "band").select("band", "node", "hub", "least.key_id", "least.key_text"), "buckets")
-    wanted = members.select("key_id", "key_text", "node").distinct()
+    members = cut(flat.join(hubs, "band").select("band", "node", "hub"), "buckets")
+    wanted = nodes.select("least.key_id", "least.key_text", "node").join(members.select("node").distinct(), "node")
     vectors = cut(_vectors(docs, wanted, wanted.count(), idf, id_col, text_col), "vectors")
 
     # each node against the least of its hubs
@@ -323,7 +323,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     alike = whole.groupBy("root", "key_id", "key_text").agg(F.count("*").alias("copies"))
     kept = alike.groupBy("root").agg(F.min(order).alias("keep"), F.sum("copies").alias("rows")).where("rows > 1").select("root", "keep")
     out = cut(alike.join(kept, "root").select("key_id", "key_text", F.col("keep.key_id").alias("keep_id"), F.col("keep.key_text").alias("keep_text"), "copies"), "groups")
-    for table in (found, members, vectors, roots, *checked):
+    for table in (found, nodes, members, vectors, roots, *checked):
         drop(table)
     return out
 
