@@ -27,6 +27,7 @@ Unlabelled rows (null lang) take no part in training. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.batches import U, mix, raw, slices
 from graftwork.llm.rows import BROADCAST_KEYS
-from graftwork.storage import cut, drop
+from graftwork.storage import cut
 
 ORDER = 5
 TRAIN_DOCS = 400
@@ -59,6 +60,12 @@ class HashArray:
         self.first = np.searchsorted(self.hashes, np.arange((1 << (64 - self.shift)) + 1).astype(U) << U(self.shift)).astype(np.int32)
         self.first[-1] = len(keys)
 
+    @staticmethod
+    def of(state: dict) -> HashArray:
+        out = HashArray.__new__(HashArray)
+        out.__dict__.update(state)
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key is, -1 if nowhere."""
         h = mix(keys)
@@ -89,16 +96,21 @@ def _symbols() -> np.ndarray:
     return table
 
 
+def symbols_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, and how many each has."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    points = np.frombuffer(raw(low)[0].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return np.where(points < 0x10000, _symbols()[np.minimum(points, 0xFFFF)], points), pc.utf8_length(low).to_numpy().astype(np.int64)
+
+
 class Grams:
     """By order, keys[k] of the k symbols that end with each character, and contexts[k] of the k - 1 before it; and the characters of each text. 0 pads the start of a text."""
 
     def __init__(self, texts: pa.Array) -> None:
-        low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        points = np.frombuffer(raw(low)[0].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        self.count, pad = pc.utf8_length(low).to_numpy().astype(np.int64), ORDER - 1
+        (points, self.count), pad = symbols_of(texts), ORDER - 1
         place = np.arange(len(points)) + pad * (np.repeat(np.arange(len(self.count)), self.count) + 1)
         line = np.zeros(len(points) + pad * (len(self.count) + 1), U)
-        line[place] = np.where(points < 0x10000, _symbols()[np.minimum(points, 0xFFFF)], points)
+        line[place] = points
         self.keys, self.contexts = [np.zeros(len(points), U)], [np.zeros(len(points), U)]
         key = np.zeros(len(line), U)
         for k in range(1, ORDER + 1):
@@ -136,9 +148,9 @@ class Models:
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.langs = sorted(texts)
-        every = [Grams(pa.array(texts[x], pa.large_string())) for x in self.langs]
-        base = 1 / (len(np.unique(np.concatenate([g.keys[1] for g in every]))) + 1)
-        own = [kneser_ney(g, base) for g in every]
+        every = [pa.array(texts[x], pa.large_string()) for x in self.langs]
+        base = 1 / (len(np.unique(np.concatenate([np.unique(symbols_of(t)[0]) for t in every]))) + 1)
+        own = [kneser_ney(Grams(t), base) for t in every]  # one after the other: each takes a hundred bytes a character
         self.base = np.full((1, len(own)), np.log2(base), np.float32)
         below_keys, below = np.zeros(1, U), np.full((1, len(own)), np.log2(base))
         self.grams: list[tuple[HashArray, np.ndarray]] = []
@@ -189,8 +201,9 @@ class Models:
 
     def calibrate(self, texts: dict[str, list[str]], false_rejects: float, least_z: float) -> None:
         for j, lang in enumerate(self.langs):
-            bits, count = self.bits(pa.array([t for t in texts.get(lang, []) if t], pa.large_string()))
-            own, n = bits[:, j], np.maximum(count, 1)
+            held = pa.RecordBatch.from_arrays([pa.array([t for t in texts.get(lang, []) if t], pa.large_string())], names=["text"])
+            parts = [self.bits(b.column(0)) for b in slices(held, most=_SLICE)] or [(np.zeros((0, len(self.langs))), np.zeros(0))]
+            own, n = np.concatenate([p[0][:, j] for p in parts]), np.maximum(np.concatenate([p[1] for p in parts]), 1)
             if len(own) < 8:  # too few to tell: nothing is rejected
                 continue
             mean = float(np.median(own))
@@ -210,30 +223,38 @@ class Models:
             return best, low, (count > 0) & ((low - mean) <= z * np.sqrt(a + b / np.maximum(count, 1)))
 
 
-def sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
-    """At most so many labelled rows of each language, those of the smallest hash: (lang, rank, text), ordered."""
+def sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """At most so many labelled rows of each language, those of the smallest hash: lang, r (rank), text."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("id", "text"))
     ranked = docs.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
     chosen = cut(ranked.groupBy("lang", "h").agg(F.min("r").alias("r")), "sample")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
-    rows = docs.join(few, ["lang", "h"]).select("lang", "r", "text").dropDuplicates(["lang", "r"]).collect()
-    drop(chosen)
-    return sorted((r.lang, r.r, r.text) for r in rows)
+    return docs.join(few, ["lang", "h"]).select("lang", "r", "text").dropDuplicates(["lang", "r"])
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, false_rejects: float = FALSE_REJECTS, least_z: float = LEAST_Z, **names: str) -> Models | None:
-    rows = sample(docs, 2 * train_docs, **names)
-    if not rows:
+    """Fits the models in one task."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["lang"], r["r"], r["text"]) for b in batches for r in b.to_pylist())
+        odd: dict[str, list[str]] = {}
+        even: dict[str, list[str]] = {}
+        for i, (lang, _, text) in enumerate(rows):
+            (odd if i % 2 else even).setdefault(lang, []).append(text)
+        for lang in {*odd} - {*even}:
+            even[lang] = odd[lang]
+        if even:
+            models = Models(even)
+            models.calibrate(odd, false_rejects, least_z)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([models.langs, models.base, models.fit, *([(t.__dict__, v) for t, v in x] for x in (models.grams, models.contexts))])], pa.large_binary()).cast(pa.binary())], names=["models"])
+
+    found = sample(docs, 2 * train_docs, **names).repartition(1).mapInArrow(fit, "models binary").collect()
+    if not found:
         return None
-    odd: dict[str, list[str]] = {}
-    even: dict[str, list[str]] = {}
-    for i, (lang, _, text) in enumerate(rows):
-        (odd if i % 2 else even).setdefault(lang, []).append(text)
-    for lang in {*odd} - {*even}:
-        even[lang] = odd[lang]
-    models = Models(even)
-    models.calibrate(odd, false_rejects, least_z)
+    models = Models.__new__(Models)
+    models.langs, models.base, models.fit, *both = pickle.loads(found[0].models)
+    models.grams, models.contexts = ([(HashArray.of(t), v) for t, v in x] for x in both)
     return models
 
 
