@@ -189,6 +189,11 @@ def blast_radius(found: DataFrame, changed: DataFrame, depth: int = trees.MAX_DE
     return out.withColumn("total", total).withColumn("severity", trees.severity(total))
 
 
+def reported(radius: DataFrame) -> DataFrame:
+    """The reports of a commit, all of them if any of its symbols has callers, else none; a symbol counts once for a file."""
+    return radius.withColumn("any", F.max("total").over(_by("commit"))).where("any > 0").drop("any")
+
+
 def _by(*columns: str):
     from pyspark.sql import Window
 

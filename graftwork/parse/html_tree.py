@@ -1,4 +1,7 @@
-"""HTML to a tree: element, tag_name, attribute, text, comment. An extension, for pages."""
+"""HTML to a tree: element, tag_name, attribute, text, comment. An extension, for pages.
+
+Paragraphs, list items, cells, rows and options without an end tag end where the next begins, so that they don't nest.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,10 @@ from html.parser import HTMLParser
 from graftwork.parse.node import Node
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: What a start tag ends, if it is open inside of nothing that holds it apart.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}} | {b: {"p"} for b in _BLOCKS}
+_HOLDERS = frozenset("ul ol dl table select body html button".split())
 
 
 class _Builder(HTMLParser):
@@ -29,6 +36,15 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = self.at()
+        ended = _ENDS.get(tag, ())
+        for i in range(len(self.stack) - 1, 0, -1):
+            name = self.stack[i].children[0].text
+            if name in _HOLDERS or not ended:
+                break
+            if name in ended:
+                for n in self.stack[i:]:
+                    n.end = a
+                del self.stack[i:]
         b = a + len(self.get_starttag_text() or "")
         n = Node("element", a, b, "", [Node("tag_name", a + 1, a + 1 + len(tag), tag)])
         for k, v in attrs:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graftwork.plans import analytics, snapshots, sources
+from graftwork.plans import analytics, generated, snapshots, sources
 from graftwork.plans.sources import flagship
 
-_MODULES = (sources, snapshots, analytics)
+_MODULES = (sources, generated, snapshots, analytics)
 __all__ = ["flagship", "oracle_sql", "queries"]
 
 

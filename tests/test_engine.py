@@ -215,3 +215,17 @@ def test_penalty_is_bounded(tokens):
     other = tokens[:]
     random.Random(1).shuffle(other)
     assert 0 <= penalty(tokens, other) <= 0.2 and penalty(tokens, tokens) == 0 and multiset(tokens, other) == 1
+
+
+def test_unclosed_elements_do_not_nest():
+    from graftwork.parse.html_tree import parse_html
+
+    page = "<body><ul>" + "<li>one<p>two" * 3000 + "</ul><table>" + "<tr><td>a<td>b" * 3000 + "</table><div><p>x<div>y</div></div>"
+    root = parse_html(page)
+    depth, stack, tags = 0, [(root, 0)], []
+    while stack:
+        n, d = stack.pop()
+        depth = max(depth, d)
+        tags += [n.text] if n.kind == "tag_name" else []
+        stack += [(c, d + 1) for c in n.children]
+    assert depth < 12 and tags.count("li") == 3000 and tags.count("td") == 6000
