@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm import rows
-from graftwork.llm.batches import U, Words, mix, raw, slices
+from graftwork.llm.batches import U, Words, lean, mix, raw, slices
 from graftwork.storage import cut
 
 WINDOW, LEAST, EXACT, COVER, ENOUGH, NEAR = 8, 5, 4, 0.5, 24, 4
@@ -174,7 +174,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), *(pa.array(v, k) for v, k in zip(rest, types))], names=["item_id", "place", "size", "tokens", "hash", "slots", "dense"])
 
     narrow = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(kernel, "item_id long, place int, size int, tokens int, hash long, slots array<long>, dense boolean")
+    return narrow.mapInArrow(lean(kernel), "item_id long, place int, size int, tokens int, hash long, slots array<long>, dense boolean")
 
 
 def _bloom(items: DataFrame) -> tuple[Bloom, list[int]]:
@@ -189,7 +189,7 @@ def _bloom(items: DataFrame) -> tuple[Bloom, list[int]]:
         yield pa.RecordBatch.from_arrays([pa.array([own.field.tobytes()], pa.binary())], names=["field"])
 
     out = Bloom(count)
-    for row in items.select("hash").coalesce(4).mapInArrow(kernel, "field binary").toLocalIterator():
+    for row in items.select("hash").coalesce(4).mapInArrow(lean(kernel), "field binary").toLocalIterator():
         out.field |= np.frombuffer(row.field, np.uint8)
     return out, sorted(about.sizes)
 
@@ -238,7 +238,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 r, types = pa.array(r, pa.int64()), (pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *(pa.array(v, k) for v, k in zip(rest, types))], names=["key_id", "key_text", "at", "hash", "doc_slots"])
 
-    hits = rows.keyed(docs, id_col, text_col).mapInArrow(kernel, "key_id long, key_text long, at long, hash long, doc_slots array<long>")
+    hits = rows.keyed(docs, id_col, text_col).mapInArrow(lean(kernel), "key_id long, key_text long, at long, hash long, doc_slots array<long>")
     joined = hits.join(items, "hash").withColumn("shift", F.col("at") - F.col("place"))
     # dense windows are alignments of their own, as what they add mustn't make others disagree
     one = joined.groupBy("key_id", "key_text", "item_id", "shift", "dense").agg(
@@ -257,7 +257,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             covered, other = zip(*(x for x in best if x)) if len(r) else ((), ())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(r) for k in range(3)), pa.array(covered, pa.float64()), pa.array(other, pa.int64())], names=["key_id", "key_text", "item_id", "covered", "reparameterised"])
 
-    return alike.mapInArrow(join, "key_id long, key_text long, item_id long, covered double, reparameterised long")
+    return alike.mapInArrow(lean(join), "key_id long, key_text long, item_id long, covered double, reparameterised long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, mix
+from graftwork.llm.batches import U, lean, mix
 from graftwork.llm.components import components
 from graftwork.storage import cut, drop
 
@@ -131,7 +131,7 @@ def _verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(cos >= least, pa.bool_()))
 
     joined = pairs.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-    return joined.select("a", "b", "va", "vb").mapInArrow(kernel, "a binary, b binary")
+    return joined.select("a", "b", "va", "vb").mapInArrow(lean(kernel), "a binary, b binary")
 
 
 def _across(flat: DataFrame, roots: DataFrame, hot: DataFrame, plans: dict[int, Plan]) -> DataFrame:
@@ -185,7 +185,7 @@ def _across(flat: DataFrame, roots: DataFrame, hot: DataFrame, plans: dict[int,
         if held:
             yield from found(pa.concat_tables(held))
 
-    return spread.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "place").mapInArrow(count, "a binary, b binary").distinct()
+    return spread.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "place").mapInArrow(lean(count), "a binary, b binary").distinct()
 
 
 def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST) -> DataFrame:
@@ -207,7 +207,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     flat = [pa.ListArray.from_arrays(lists, pa.array(np.ascontiguousarray(y).reshape(-1))) for y in (cells.view(np.int64), places)]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(names, pa.binary()), pa.array(np.full(len(ok), dimension, np.int32)), *flat, pa.array([r.tobytes() for r in codes], pa.binary()), b.column(1).take(pa.array(ok))], names=["id", "node", "dimension", "cells", "places", "codes", "v"])
 
-    drawn = cut(narrow.mapInArrow(project, "id long, node binary, dimension int, cells array<long>, places array<float>, codes binary, v array<float>"), "projections")
+    drawn = cut(narrow.mapInArrow(lean(project), "id long, node binary, dimension int, cells array<long>, places array<float>, codes binary, v array<float>"), "projections")
     # of equal vectors one stands for all
     alike = cut(drawn.groupBy("node").agg(F.min("id").alias("id")), "nodes")
     one = drawn.join(alike, ["node", "id"], "left_semi").dropDuplicates(["node"])

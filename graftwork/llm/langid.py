@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, mix, raw, slices
+from graftwork.llm.batches import U, lean, mix, raw, slices
 from graftwork.llm.rows import BROADCAST_KEYS
 from graftwork.storage import cut
 
@@ -104,34 +104,35 @@ def symbols_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """By order, keys[k] of the k symbols that end with each character, and contexts[k] of the k - 1 before it; and the characters of each text. 0 pads the start of a text."""
+    """The n-grams of some texts, by the character they end with; and the characters of each text. 0 pads the start of a text."""
 
     def __init__(self, texts: pa.Array) -> None:
         (points, self.count), pad = symbols_of(texts), ORDER - 1
-        place = np.arange(len(points)) + pad * (np.repeat(np.arange(len(self.count)), self.count) + 1)
-        line = np.zeros(len(points) + pad * (len(self.count) + 1), U)
-        line[place] = points
-        self.keys, self.contexts = [np.zeros(len(points), U)], [np.zeros(len(points), U)]
-        key = np.zeros(len(line), U)
-        for k in range(1, ORDER + 1):
-            self.contexts.append(key[place - 1] if k > 1 else self.keys[0])
-            before = np.concatenate([np.zeros(k - 1, U), line[: len(line) - k + 1]])
-            key = mix(key * U(0x9E3779B97F4A7C15) + before + U(k << 32))
-            self.keys.append(key[place])
+        self.place = np.arange(len(points)) + pad * (np.repeat(np.arange(len(self.count)), self.count) + 1)
+        self.line = np.zeros(len(points) + pad * (len(self.count) + 1), np.uint32)
+        self.line[self.place] = points
+
+    def keys(self, k: int, rows: np.ndarray | slice = slice(None), back: int = 0) -> np.ndarray:
+        """Of each character, or some, the hash of the k symbols that end with it, or with the one `back` before it."""
+        at = self.place[rows] - back
+        key = np.zeros(len(at), U)
+        for j in range(k):
+            key = mix(key * U(0x9E3779B97F4A7C15) + self.line[at - j].astype(U) + U((j + 1) << 32))
+        return key
 
 
 def kneser_ney(g: Grams, base: float) -> tuple[list[tuple[np.ndarray, ...]], list[tuple[np.ndarray, np.ndarray]]]:
     """By order, from 1: sorted keys, log2-probabilities, suffixes and contexts of the n-grams; and sorted contexts and log2 back-off weights. base: the share of a symbol below all orders."""
-    _, at, count = np.unique(g.keys[ORDER], return_index=True, return_counts=True)
+    _, at, count = np.unique(g.keys(ORDER), return_index=True, return_counts=True)
     by_order = {ORDER: (at, count)}
     for k in range(ORDER - 1, 0, -1):
         above = by_order[k + 1][0]
-        _, first, count = np.unique(g.keys[k][above], return_index=True, return_counts=True)
+        _, first, count = np.unique(g.keys(k, above), return_index=True, return_counts=True)
         by_order[k] = above[first], count
     grams, contexts = [], []
     for k in range(1, ORDER + 1):
         at, c = by_order[k]
-        key, suffix, around = g.keys[k][at], g.keys[k - 1][at], g.contexts[k][at]
+        key, suffix, around = g.keys(k, at), g.keys(k - 1, at), g.keys(k - 1, at, 1)
         ones, twos = int((c == 1).sum()), int((c == 2).sum())
         d = ones / (ones + 2 * twos) if ones and twos else 0.5
         h, inverse, types = np.unique(around, return_inverse=True, return_counts=True)
@@ -176,14 +177,14 @@ class Models:
         if k == 0:
             return self.base
         table, value = self.grams[k - 1]
-        at = table.find(g.keys[k][rows])
+        at = table.find(g.keys(k, rows))
         out = value[at]
         missing = np.flatnonzero(at < 0)
         if len(missing):
             some = missing if isinstance(rows, slice) else rows[missing]
             rest = self._score(g, k - 1, some)
             table, value = self.contexts[k - 1]
-            at = table.find(g.contexts[k][some])
+            at = table.find(g.keys(k - 1, some, 1))
             out[missing] = rest + np.where((at >= 0)[:, None], value[at], np.float32(0))
         return out
 
@@ -249,7 +250,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, false_rejects: float =
             models.calibrate(odd, false_rejects, least_z)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([models.langs, models.base, models.fit, *([(t.__dict__, v) for t, v in x] for x in (models.grams, models.contexts))])], pa.large_binary()).cast(pa.binary())], names=["models"])
 
-    found = sample(docs, 2 * train_docs, **names).repartition(1).mapInArrow(fit, "models binary").collect()
+    found = sample(docs, 2 * train_docs, **names).repartition(1).mapInArrow(lean(fit), "models binary").collect()
     if not found:
         return None
     models = Models.__new__(Models)
@@ -277,7 +278,7 @@ def identify(docs: DataFrame, models: Models | None = None, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([b.column(0), predicted, near, bits, pa.array(ok)], names=["doc_id", "predicted", "nearest", "bits_per_char", "accepted"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(kernel, "doc_id long, predicted string, nearest string, bits_per_char double, accepted boolean")
+    return narrow.mapInArrow(lean(kernel), "doc_id long, predicted string, nearest string, bits_per_char double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", models: Models | None = None, **options: float) -> DataFrame:
@@ -291,4 +292,4 @@ def keep_identified(docs: DataFrame, text_col: str = "text", models: Models | No
                 ok = [bool(v.as_py()) for v in b.column(at)] if models is None else models.decide(b.column(at))[2]
                 yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(lean(kernel), docs.schema)

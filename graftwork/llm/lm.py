@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, Words, raw, slices
+from graftwork.llm.batches import U, Words, lean, raw, slices
 from graftwork.storage import cut, drop
 
 VOCABULARY, HIDDEN, CLASSES = 2000, 24, 32
@@ -186,7 +186,7 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
         yield rows(4, np.arange(4), cases)
 
     text = docs.select(docs["text"])
-    counted = cut(text.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "word-counts")
+    counted = cut(text.mapInArrow(lean(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "word-counts")
     top = counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(most).collect()
     rest = counted.where("kind IN (1, 3, 4)").collect()  # at most 2 * 65536 + 4
     about = {r.kind: int(r.n or 0) for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -473,9 +473,9 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, h
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["tokens", "flat"])
 
         schema = "tokens double, flat binary"
-        replicas = cut(part.mapInArrow(replica, schema), "replicas")
+        replicas = cut(part.mapInArrow(lean(replica), schema), "replicas")
         some = max(1, replicas.count() // FAN)
-        means = replicas.repartition(some).mapInArrow(average, schema).repartition(1).mapInArrow(average, schema).collect()
+        means = replicas.repartition(some).mapInArrow(lean(average), schema).repartition(1).mapInArrow(lean(average), schema).collect()
         if means:
             network.load(np.frombuffer(means[0].flat, np.float32))
         drop(replicas)
@@ -496,4 +496,4 @@ def score(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id
                 by_byte = pa.array(bits / np.maximum(size, 1), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(-bits * np.log(2)), pa.array(bits / n), by_byte], names=["doc_id", "n_tokens", "log_likelihood", "bits_per_token", "bits_per_byte"])
 
-    return narrow.mapInArrow(kernel, "doc_id long, n_tokens long, log_likelihood double, bits_per_token double, bits_per_byte double")
+    return narrow.mapInArrow(lean(kernel), "doc_id long, n_tokens long, log_likelihood double, bits_per_token double, bits_per_byte double")

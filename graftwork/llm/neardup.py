@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm import rows
-from graftwork.llm.batches import U, Words, grams, mix, slices
+from graftwork.llm.batches import U, Words, grams, lean, mix, slices
 from graftwork.llm.components import components, joined
 from graftwork.storage import cut, drop
 
@@ -133,7 +133,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> Idf:
 
     schema = "part int, docs long, counts binary"
     text = docs.select(docs[text_col].cast("string").alias("text"))
-    found = text.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add_up, schema)
+    found = text.mapInArrow(lean(count), schema).repartition(PARTS, "part").mapInArrow(lean(add_up), schema)
     counts, total = np.zeros((PARTS, ROWS * WIDTH // PARTS), np.float16), 0
     for r in found.toLocalIterator():
         counts[r.part] = np.frombuffer(r.counts, np.float16)
@@ -233,7 +233,7 @@ def sketches(docs: DataFrame, idf: Idf, id_col: str = "doc_id", text_col: str =
                 out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_content(words), pa.binary()), flat], names=["key_id", "key_text", "node", "bands"])
                 yield out.filter(out.column(2).is_valid())
 
-    return rows.keyed(docs, id_col, text_col).mapInArrow(kernel, "key_id long, key_text long, node binary, bands array<long>")
+    return rows.keyed(docs, id_col, text_col).mapInArrow(lean(kernel), "key_id long, key_text long, node binary, bands array<long>")
 
 
 def _vectors(docs: DataFrame, wanted: DataFrame, count: int, idf: Idf, id_col: str, text_col: str) -> DataFrame:
@@ -249,7 +249,7 @@ def _vectors(docs: DataFrame, wanted: DataFrame, count: int, idf: Idf, id_col: s
 
     wanted = F.broadcast(wanted) if count <= rows.BROADCAST_KEYS else wanted
     some = rows.keyed(docs, id_col, text_col).join(wanted, ["key_id", "key_text"]).dropDuplicates(["node"]).select("node", "text")
-    return some.mapInArrow(kernel, "node binary, features array<long>, weights array<float>")
+    return some.mapInArrow(lean(kernel), "node binary, features array<long>, weights array<float>")
 
 
 def weighted_jaccard(fa: np.ndarray, wa: np.ndarray, fb: np.ndarray, wb: np.ndarray) -> float:
@@ -278,7 +278,7 @@ def _verify(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     left = vectors.select(F.col("node").alias("a"), F.col("features").alias("fa"), F.col("weights").alias("wa"))
     right = vectors.select(F.col("node").alias("b"), F.col("features").alias("fb"), F.col("weights").alias("wb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "wa", "fb", "wb")
-    return joined.mapInArrow(kernel, "a binary, b binary, similarity double")
+    return joined.mapInArrow(lean(kernel), "a binary, b binary, similarity double")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

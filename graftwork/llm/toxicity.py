@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, mix, raw, slices
+from graftwork.llm.batches import U, lean, mix, raw, slices
 
 SPAN, DECAY = 6, 0.7
 LABELLED = 2000
@@ -428,7 +428,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             model = Model([t for _, t in rows], [y for (y, _), _ in rows])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__getstate__())], pa.binary())], names=["model"])
 
-    found = some.repartition(1).mapInArrow(fit, "model binary").collect()
+    found = some.repartition(1).mapInArrow(lean(fit), "model binary").collect()
     if not found:
         return None
     model = Model.__new__(Model)
@@ -451,4 +451,4 @@ def detect(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_co
                 yield out if all_rows else out.filter(out.column(3)).select(["doc_id", "toxicity", "toxic_sentences"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(kernel, "doc_id long, toxicity double, toxic_sentences long" + ", toxic boolean" * all_rows)
+    return narrow.mapInArrow(lean(kernel), "doc_id long, toxicity double, toxic_sentences long" + ", toxic boolean" * all_rows)
