@@ -25,23 +25,30 @@ def similarity_theta_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.col("x.b").alias("match_id"), F.round("x.similarity", 6).alias("similarity"))
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Pairs of items and documents are reported from this similarity on.
+SIMILAR = 0.1
+
+
+def _overlaps(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("l"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), "text")
-    return matching.overlap_scores(items, docs).withColumnsRenamed({"l": "item_id", "r": "doc_id"})
+    return matching.overlap_scores(items, docs, SIMILAR, by).withColumnsRenamed({"l": "item_id", "r": "doc_id"})
 
 
 def structural_set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("shared") / F.col("set_union"), 6).alias("jaccard"))
+    j = F.col("shared") / F.col("set_union")
+    return _overlaps(spark, sf_dir, "set").where(j >= SIMILAR).select("item_id", "doc_id", F.round(j, 6).alias("jaccard"))
 
 
 def token_multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("sum_least") / F.col("sum_greatest"), 6).alias("jaccard"))
+    j = F.col("sum_least") / F.col("sum_greatest")
+    return _overlaps(spark, sf_dir, "multiset").where(j >= SIMILAR).select("item_id", "doc_id", F.round(j, 6).alias("jaccard"))
 
 
 def composite_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlaps(spark, sf_dir)
-    return o.select("item_id", "doc_id", F.round(scoring.composite(F.col("shared") / F.col("set_union"), F.col("sum_least") / F.col("sum_greatest")), 6).alias("similarity"))
+    # a mean of both reaches the threshold only where one of them does
+    c = scoring.composite(F.col("shared") / F.col("set_union"), F.col("sum_least") / F.col("sum_greatest"))
+    return _overlaps(spark, sf_dir, "set", "multiset").where(c >= SIMILAR).select("item_id", "doc_id", F.round(c, 6).alias("similarity"))
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +233,9 @@ SQL = {
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS t FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0 AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)),
         q AS (SELECT a, b, k / (t - k) AS j FROM p WHERE k >= 0.7 * (t - k)), u AS (SELECT a, b, j FROM q UNION ALL SELECT b, a, j FROM q)
         SELECT a AS doc_id, b AS match_id, round(j, 6) AS similarity FROM u QUALIFY row_number() OVER (PARTITION BY a ORDER BY j DESC, b DESC) = 1""",
-    "structural_set_jaccard": f"WITH {_PAIRS} SELECT item_id, doc_id, round(js, 6) AS jaccard FROM o",
-    "token_multiset_jaccard": f"WITH {_PAIRS} SELECT item_id, doc_id, round(jm, 6) AS jaccard FROM o",
-    "composite_similarity": f"WITH {_PAIRS} SELECT item_id, doc_id, round(0.6 * js + 0.4 * jm, 6) AS similarity FROM o",
+    "structural_set_jaccard": f"WITH {_PAIRS} SELECT item_id, doc_id, round(js, 6) AS jaccard FROM o WHERE js >= {SIMILAR}",
+    "token_multiset_jaccard": f"WITH {_PAIRS} SELECT item_id, doc_id, round(jm, 6) AS jaccard FROM o WHERE jm >= {SIMILAR}",
+    "composite_similarity": f"WITH {_PAIRS} SELECT item_id, doc_id, round(0.6 * js + 0.4 * jm, 6) AS similarity FROM o WHERE 0.6 * js + 0.4 * jm >= {SIMILAR}",
     "token_bitset": f"WITH {_TOKENS} SELECT doc_id, bit_or(1::BIGINT << ({_BIN} % 63)::INT) AS bits FROM tok GROUP BY doc_id",
     "token_histogram16": f"WITH {_TOKENS} SELECT doc_id, {_BIN} % 16 AS bin, least(255, count(*)) AS n FROM tok GROUP BY ALL",
     "histogram_jaccard": f"""WITH {_TOKENS}, h AS (SELECT doc_id, lang, {_BIN} % 16 AS bin, count(*) AS n FROM tok GROUP BY ALL),

@@ -25,6 +25,36 @@ def _git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout
 
 
+class Blobs:
+    """Contents of objects, all read by one process of git."""
+
+    def __init__(self, repo: str) -> None:
+        self.process = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def __enter__(self) -> Blobs:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process.wait()
+
+    def get(self, oid: str) -> bytes | None:
+        """None where there is no such blob."""
+        self.process.stdin.write(oid.encode() + b"\n")
+        self.process.stdin.flush()
+        kind = self.process.stdout.readline().split()
+        if len(kind) != 3:
+            return None
+        data = self.process.stdout.read(int(kind[2]) + 1)[:-1]
+        return data if kind[1] == b"blob" else None
+
+    def get_bytes(self, oid: str) -> bytes | None:
+        """None for binary contents too: those with a zero in their first 8,000 bytes."""
+        data = self.get(oid)
+        return None if data is None or b"\0" in data[:8000] else data
+
+
 def resolve(repo: str, ref: str) -> str:
     return _git(repo, "rev-parse", "--verify", f"{ref}^{{commit}}").decode().strip()
 
@@ -55,23 +85,25 @@ def changed_files(spark: SparkSession, repo: str, a: str = "HEAD~1", b: str | No
     disk = b is None and not staged
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def blob(oid: object, name: str, worktree: bool) -> str | None:
-            try:
-                if isinstance(oid, str) and oid:
-                    data = _git(repo, "cat-file", "blob", oid)
-                elif worktree:
-                    with open(os.path.join(repo, name), "rb") as f:
-                        data = f.read()
-                else:
+        with Blobs(repo) as blobs:
+
+            def text(oid: object, name: str, worktree: bool) -> str | None:
+                try:
+                    if isinstance(oid, str) and oid:
+                        data = blobs.get(oid)
+                    elif worktree:
+                        with open(os.path.join(repo, name), "rb") as f:
+                            data = f.read()
+                    else:
+                        return None
+                    return None if data is None else data.decode("utf-8")
+                except (OSError, UnicodeDecodeError):
                     return None
-                return data.decode("utf-8")
-            except (subprocess.CalledProcessError, OSError, UnicodeDecodeError):
-                return None
-
-        for x in batches:
-            x["old_text"] = [blob(o, n, False) for o, n in zip(x["old_blob"], x["old_path"])]
-            x["new_text"] = [blob(o, n, disk and s != "Deleted") for o, n, s in zip(x["new_blob"], x["file_path"], x["status"])]
-            yield x[["commit", "file_path", "old_path", "status", "old_blob", "new_blob", "old_text", "new_text", "lang"]]
+
+            for x in batches:
+                x["old_text"] = [text(o, n, False) for o, n in zip(x["old_blob"], x["old_path"])]
+                x["new_text"] = [text(o, n, disk and s != "Deleted") for o, n, s in zip(x["new_blob"], x["file_path"], x["status"])]
+                yield x[["commit", "file_path", "old_path", "status", "old_blob", "new_blob", "old_text", "new_text", "lang"]]
 
     return changes.mapInPandas(read, SCHEMA + ", lang STRING")
 
