@@ -10,7 +10,7 @@ many tokens as there are.
 A source's documents fall into blocks by a hash; a block's place in an epoch's
 permutation is another hash of it and the epoch. A budget takes whole epochs, then, of one
 more, the blocks in that order that fit, and of the block that the budget's end falls in the
-documents in the order of a hash until one exceeds it (so a source of one document longer than its budget has no rows). So only one number for each
+documents in the order of a hash until one exceeds it, but one document at least of each source whose budget isn't 0. So only one number for each
 block is accumulated, however large a source, and within one block of each source
 one for each document; no text moves. `position` in [0, 1) interleaves the
 sources evenly: sorting by it gives the mixed order.
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     plan = docs.sparkSession.createDataFrame(budgets, "of string, budget long, whole long")
     plan = plan.withColumn("epochs", F.expr("budget div whole")).withColumn("rest", F.col("budget") % F.col("whole"))
     # what is left for one more epoch: blocks in its permutation, with the tokens before each
-    ranked = by_block.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))
+    ranked = by_block.join(_few(plan, len(budgets)), F.col("source").eqNullSafe(F.col("of")))
     ranked = ranked.withColumn("turn", F.struct(_hash(F.lit(seed + 2), "source", "block", "epochs").alias("h"), "block"))
     ranked = ranked.withColumn("before", F.sum("n").over(Window.partitionBy("of").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
     fits = F.col("before") + F.col("n") <= F.col("rest")
@@ -106,8 +106,10 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     inner = marks.join(_few(border, len(budgets)), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     inner = inner.groupBy("of", "order", "room").agg(F.sum("n").alias("n"))
     inner = inner.withColumn("before", F.sum("n").over(Window.partitionBy("of").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    limits = inner.where(F.col("before") + F.col("n") <= F.col("room")).groupBy("of").agg(F.max("order").alias("limit"))
+    limits = inner.groupBy("of").agg(F.max(F.when(F.col("before") + F.col("n") <= F.col("room"), F.col("order"))).alias("limit"), F.min("order").alias("least"))
     known = known.join(limits.withColumnRenamed("of", "of_l"), F.col("of").eqNullSafe(F.col("of_l")), "left")
+    nothing = (F.col("epochs") == 0) & F.col("full").isNull()
+    known = known.withColumn("limit", F.coalesce("limit", F.when(nothing, F.col("least"))))
     own = "_p"  # begins the names of our own columns beside the caller's
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"

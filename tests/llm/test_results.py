@@ -232,6 +232,48 @@ def test_budgets(documents):
     assert again == sorted((r.doc_id, r.epoch, r.position) for r in got.collect())
 
 
+def test_mixture_by_hand(spark):
+    """Blocks, epochs, the budget's end and positions recomputed row by row."""
+    g = random.Random(7)
+    rows = [(i, sentence(g, g.randrange(1, 30)), "big") for i in range(150)] + [(200 + i, sentence(g, 12), "small") for i in range(4)] + [(300, sentence(g, 900), "one")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    blocks, seed, budget = 8, 1, 1500
+    got = {(r.doc_id, r.epoch): r for r in mixing.mix(docs, budget=budget, blocks=blocks).collect()}
+    marks = docs.select("source", "doc_id", mixing.tokens_of(F.col("text")).alias("n"), *[F.xxhash64(F.lit(seed + k), F.col("doc_id"), F.xxhash64("text")).alias(f"h{k}") for k in (0, 1)]).collect()
+    tokens = Counter()
+    for r in marks:
+        tokens[r.source] += r.n
+    _, weight = mixing.weights(dict(tokens), budget=budget)
+    want = {}
+    for source in tokens:
+        own, room = [r for r in marks if r.source == source], int(weight[source] * budget)
+        epochs, rest = divmod(room, tokens[source])
+        for e in range(epochs):
+            want |= {(r.doc_id, e): r for r in own}
+        order = spark.range(blocks).select("id", F.xxhash64(F.lit(seed + 2), F.lit(source), F.col("id").cast("int"), F.lit(epochs).cast("long")).alias("h")).collect()
+        taken = 0
+        for b in sorted(order, key=lambda b: (b.h, b.id)):
+            inside = [r for r in own if r.h0 % blocks == b.id]
+            n = sum(r.n for r in inside)
+            if taken + n <= rest:
+                want |= {(r.doc_id, epochs): r for r in inside}
+                taken += n
+            elif taken < rest:
+                inside, some = sorted(inside, key=lambda r: r.h1), 0
+                for r in inside:
+                    if taken + some + r.n > rest:
+                        break
+                    want[r.doc_id, epochs] = r
+                    some += r.n
+                if not epochs and not any(x.source == source for x in want.values()):
+                    want[inside[0].doc_id, epochs] = inside[0]
+                break
+    assert set(got) == set(want) and {r.source for r in got.values()} == {"big", "small", "one"}
+    assert all(r.block == want[k].h0 % blocks and 0 <= r.position < 1 for k, r in got.items())
+    by_source = {s: sorted((r.position, r.epoch) for r in got.values() if r.source == s) for s in tokens}
+    assert all([e for _, e in v] == sorted(e for _, e in v) for v in by_source.values())  # an epoch after the other
+
+
 # 6
 
 
