@@ -54,12 +54,15 @@ def _json_web_token(token: str) -> bool:
 
 
 def _key_block(block: str) -> bool:
-    """The base64 body is DER whose outer length is the body's length, or an OpenSSH key."""
-    inner = re.sub(r"-----[^-]+-----|\s", "", block)
+    """The base64 body is DER whose outer length is the body's length, or an OpenSSH key, or, where a header says so, encrypted in whole blocks."""
+    locked = "Proc-Type: 4,ENCRYPTED" in block
+    inner = re.sub(r"-----[^-]+-----|^[A-Za-z-]+: .*$|\s", "", block, flags=re.M)
     try:
         der = base64.b64decode(inner, validate=True)
     except (ValueError, binascii.Error):
         return False
+    if locked:
+        return len(der) >= 16 and len(der) % 8 == 0
     if der.startswith(b"openssh-key-v1\0"):
         return True
     if len(der) < 4 or der[0] != 0x30:
@@ -87,11 +90,12 @@ _IBAN = ["IBAN", "iban", "Iban"]
 RULES: dict[str, tuple[list[str], str, object, bool]] = {
     "github_token": (["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", _crc_tail, True),
     "npm_token": (["npm_"], r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", _crc_tail, True),
-    "private_key": (["-----BEGIN"], r"-----BEGIN (?P<n>[A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END (?P=n)-----", _key_block, True),
+    "private_key": (["-----BEGIN"], r"-----BEGIN (?P<n>[A-Z ]*PRIVATE KEY)-----\s*(?:[A-Za-z-]+: [^\n]*\n)*[A-Za-z0-9+/=\s]+-----END (?P=n)-----", _key_block, True),
     "json_web_token": (["eyJ"], r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _json_web_token, True),
     "iban": (_IBAN, r"[Ii](?:BAN|ban)\s*[:=]?\s*(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _mod_97, True),
     "aws_key_id": (["AKIA", "ASIA"], r"(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])", None, False),
-    "stripe_key": (["sk_live_", "rk_live_"], r"[sr]k_live_[A-Za-z0-9]{16,}", None, False),
+    "stripe_key": (["sk_live_", "rk_live_", "sk_test_", "rk_test_"], r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", None, False),
+    "sendgrid_key": (["SG."], r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])", None, False),
     "slack_token": (["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"xox[bpars]-[A-Za-z0-9-]{10,}", None, False),
     "google_key": (["AIza"], r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", None, False),
     "gitlab_token": (["glpat-"], r"glpat-[A-Za-z0-9_-]{20,}", None, False),

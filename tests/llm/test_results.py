@@ -484,6 +484,17 @@ def test_checksums():
     assert secrets.find("IBAN: GB82 WEST 1234 5698 7654 33.", words, rules) == []
 
 
+def test_keys_with_headers_and_vendors():
+    words, rules = secrets.automaton(), {k: re.compile(r[1]) for k, r in secrets.RULES.items()}
+    import base64
+
+    body = base64.b64encode(bytes(range(64))).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert [x[2:] for x in secrets.find(f"x {pem} y", words, rules)] == [("private_key", "valid")]
+    assert secrets.find(f"x {pem.replace('Proc-Type: 4,ENCRYPTED', 'Comment: none')} y", words, rules) == []
+    assert [x[2] for x in secrets.find("SG." + "a1" * 11 + "." + "b2C" * 14 + "d, sk_test_" + "Ab12" * 5, words, rules)] == ["sendgrid_key", "stripe_key"]
+
+
 # 9
 
 
