@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     li.add_argument("path", nargs="?", default=".")
     li.add_argument("--rules", required=True)
     li.add_argument("--max-warnings", type=int, default=0)
+    li.add_argument("--format", choices=("text", "json", "sarif"), default="text")
     m = sub.add_parser("merge-driver")
     m.add_argument("versions", nargs=3)
     m.add_argument("path")
@@ -67,9 +68,9 @@ def main(argv: list[str] | None = None) -> int:
         files = git.source_files(spark, a.path)
         nodes = code.nodes(files, "file_path", "text", files["lang"]).withColumnRenamed("id", "file_path")
         found = lint.lint_nodes(nodes, lint.load_rules(spark, a.rules))
-        for r in found.orderBy("file_path", "row", "rule_name").toLocalIterator():
-            print(f"{r.file_path}:{r.row}: {r.severity} [{r.rule_name}] {r.message}")
-        return int(not lint.lint_result(found, a.max_warnings).first().passed)
+        result = lint.lint_result(found, a.max_warnings).first().asDict()
+        print(report.render_lint([r.asDict() for r in found.orderBy("file_path", "row", "rule_name").collect()], result, a.format))
+        return int(not result["passed"])
     if a.command == "files":
         pairs, name, settings = git.two_files(spark, a.new, a.old, a.new), "", {}
         compact, full, form, check, logic = False, False, None, False, False
@@ -82,7 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     limits = Limits(**settings.get("limits", {}))
     diffs = code.file_diffs(pairs, logic, limits).persist()
     files = report.collect(diffs, name)
-    print(report.render(files, form, name) if form else report.show(files, compact, full))
+    more = report.about(pairs, diffs, name, logic, limits)
+    print(report.render(files, form, name, more) if form else report.show(files, compact, full, more))
     return int(check and report.failed_check(diffs))
 
 

@@ -27,8 +27,14 @@ def test_a_commit_as_tables(spark):
     line = json.loads(next(r["json"] for r in rows(report.json_lines(diffs)) if r["file_path"] == "pad.c"))
     assert line == {"filePath": "pad.c", "operations": []}
     files = report.collect(diffs, "c1")
+    more = report.about(snippets.pairs(spark), diffs, "c1")
+    assert more["classification"] and more["flows"] and more["events"]
+    more["radius"] = report.about(snippets.pairs(spark), diffs, "c2")["radius"]
+    assert {r["total"] > 0 for r in more["radius"]} == {True, False}  # all reports of a commit with callers
     for form in report.FORMATS:
-        assert report.render(files, form, "c1")
+        assert report.render(files, form, "c1", more)
+    text = report.render(files, "text", "c1", more)
+    assert all(f"{h}:" in text for h in ("Class", "Across files", "Callers of what changed", "Data flow")) and "check.rs" in report.render(files, "html", "c1", more)
     assert "check.rs" in report.show(files) and report.failed_check(diffs)
 
 
