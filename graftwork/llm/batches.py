@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel takes at once; a longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U = np.uint64
 

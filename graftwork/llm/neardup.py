@@ -48,7 +48,7 @@ SEED = 20240229
 _FEATURE_BITS = 44
 _TABLE_BITS = 12
 #: Shingles that are added to a sketch at once, and the parts in which sketches are summed.
-BLOCK_SHINGLES, PARTS = 4_000_000, 64
+BLOCK_SHINGLES, PARTS = 1_000_000, 64
 #: Shingles whose samples are drawn at once.
 DRAW = 20_000
 
