@@ -3,6 +3,14 @@
 Documents without an identified language go; of near duplicates one stays;
 documents that hold benchmark items go; secrets are replaced; sources are mixed
 to target weights, which adds the columns epoch, block and position.
+
+Defined results: null and empty texts have no language and go in the first stage (where no row is labelled
+with a language, texts that aren't empty all stay); a null language takes no part in training and is judged like any other; a null id is an id
+of its own; of rows equal in id and text, and of equal or near texts, one stays, the least id; a null
+source is a source of its own; texts of any length are judged whole; an empty table of documents gives
+an empty table of the same columns, an empty benchmark lets every document stay; ties are settled as in the
+stages' modules; further columns are kept as they are, and epoch, block and position get underscores
+after their names where these are taken.
 """
 
 from __future__ import annotations

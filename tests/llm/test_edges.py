@@ -1,6 +1,7 @@
 """Odd rows and empty tables: what each operator's docstring says of them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graftwork.llm import decontaminate, embeddup, langid, lm, mixing, neardup, secrets, tokens, toxicity, warc
 
@@ -126,3 +127,18 @@ def test_stage_keeps_columns(spark, odd, none, stage):
         got = f(spark, docs, "/root/testdata/sf0.001")
         assert got.columns[: len(odd.columns)] == odd.columns and (stage == 4 or len(got.columns) == len(odd.columns))
         assert got.count() <= 3 * docs.count()
+
+
+@pytest.mark.parametrize("kind", ["odd", "none", "unlabelled"])
+def test_pipeline_as_a_whole(spark, odd, none, benchmark, tmp_path, kind):
+    import corpus_pipeline
+
+    docs = {"odd": odd, "none": none, "unlabelled": odd.where("length(text) < 20000 or text is null").withColumn("lang", F.lit(None).cast("string"))}[kind]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (benchmark.where("false") if kind == "unlabelled" else benchmark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[: len(docs.columns)] == docs.columns and len(got.columns) == len(docs.columns) + 3
+    rows = got.collect()
+    assert (kind == "none") == (not rows)
+    assert all(r.text and r.text.strip() for r in rows)
+    assert sum(r.doc_id in (900_005, 900_006, 900_007) and r.epoch_ == 0 for r in rows) <= 1  # equal texts: the least id, once an epoch
