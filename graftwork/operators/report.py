@@ -40,11 +40,12 @@ def sarif(diffs: DataFrame) -> DataFrame:
 
 
 def lint_sarif(findings: DataFrame) -> DataFrame:
+    """A SARIF document for each file with findings."""
     level = F.when(F.col("severity") == "ERROR", "error").when(F.col("severity") == "WARN", "warning").otherwise("note")
     result = F.struct(F.col("rule_name").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("row").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))
-    rows = findings.agg(F.array_sort(F.collect_list(F.struct("file_path", "row", "rule_name", result.alias("r")))).alias("rows"))
+    rows = findings.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("row", "rule_name", result.alias("r")))).alias("rows"))
     run = F.struct(F.struct(F.struct(F.lit("graftwork").alias("name")).alias("driver")).alias("tool"), F.transform("rows", lambda x: x["r"]).alias("results"))
-    return rows.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+    return rows.select("file_path", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
 def collect(diffs: DataFrame, commit: str) -> list[dict]:
