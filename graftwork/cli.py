@@ -8,13 +8,19 @@ import tomllib
 from pathlib import Path
 
 FOUND = (".graftwork.toml", "graftwork.toml")
+#: Sections and settings of a file of settings.
+SETTINGS = {"default": {"logic_only": bool, "json": bool}, "limits": {"max_bytes": int, "max_nodes": int, "max_depth": int, "timeout_ms": int}, "output": {"format": str}}
 
 
 def config(repo: str, given: str | None = None) -> dict:
-    """Settings of the given file, else the first found in the repository or the home folder, else none."""
-    for path in [Path(given)] if given else [Path(d) / f for d in (repo, Path.home()) for f in FOUND]:
+    """Settings of the given file, else the first that can be read in the repository or the home folder, else none; unknown ones are left out."""
+    for path in [*([Path(given)] if given else []), *(Path(d) / f for d in (repo, Path.home()) for f in FOUND), Path.home() / ".config" / "graftwork" / "graftwork.toml"]:
         if path.is_file():
-            return tomllib.loads(path.read_text())
+            try:
+                read = tomllib.loads(path.read_text())
+            except tomllib.TOMLDecodeError:
+                continue
+            return {s: {k: v for k, v in read.get(s, {}).items() if isinstance(v, SETTINGS[s].get(k, ()))} for s in SETTINGS}
     return {}
 
 
@@ -79,7 +85,9 @@ def main(argv: list[str] | None = None) -> int:
         settings = config(repo, a.config)
         pairs = git.changed_files(spark, repo, old, new, a.staged, a.path)
         name = f"{old}..{'index' if a.staged else new or 'worktree'}"
-        compact, full, form, check, logic = a.compact, a.full, a.format, a.check, a.logic_only
+        default = settings.get("default", {})
+        form = a.format or ("json" if default.get("json") else settings.get("output", {}).get("format"))
+        compact, full, check, logic = a.compact, a.full, a.check, a.logic_only or default.get("logic_only", False)
     limits = Limits(**settings.get("limits", {}))
     diffs = code.file_diffs(pairs, logic, limits).persist()
     files = report.collect(diffs, name)

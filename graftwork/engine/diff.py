@@ -151,17 +151,29 @@ def diff(a: Node | None, b: Node | None, windows: list[tuple[int, int]] | None =
     return out + [op("INSERT", None, new[j], f"{new[j].node.kind} '{new[j].name}' inserted", None) for j in sorted(free_b)]
 
 
+class Index:
+    """Significant nodes of many files by kind and name, by structure, and by identity."""
+
+    def __init__(self, files: dict[str, Node]) -> None:
+        self.by: dict[str, dict] = {"name": defaultdict(list), "structure": defaultdict(list), "identity": defaultdict(list)}
+        for p in sorted(files):
+            for x in significant(files[p]):
+                for how, key in (("name", (x.node.kind, x.name)), ("structure", x.node.structural), ("identity", x.node.identity)):
+                    self.by[how][key].append((p, x))
+
+    def find(self, how: str, key: object, apart_from: str) -> tuple[str, Item] | None:
+        """The first of that key in another file, in order of path and place."""
+        return next((hit for hit in self.by[how].get(key, ()) if hit[0] != apart_from), None)
+
+
 def multi_file(old: dict[str, Node], new: dict[str, Node]) -> dict[str, list[dict]]:
     """Operations by file, where a delete and an insert of the same kind and name elsewhere become a move. Files and operations go in order."""
     ops = {p: diff(old.get(p), new.get(p)) for p in sorted(old.keys() | new.keys())}
-    index = defaultdict(list)
-    for p in sorted(new):
-        for x in significant(new[p]):
-            index[x.node.kind, x.name].append((p, x))
+    index = Index(new)
     inserts = [(p, o) for p in ops for o in ops[p] if o["op_type"] == "INSERT"]
     used: set[str] = set()
     for p, gone in [(p, o) for p in ops for o in ops[p] if o["op_type"] == "DELETE"]:
-        hit = next(((q, x) for q, x in index.get((gone["kind"], gone["old_name"]), ()) if q != p), None)
+        hit = index.find("name", (gone["kind"], gone["old_name"]), p)
         text, q, place, where = None, None, None, None
         if hit and (t := f"{hit[1].node.kind} '{hit[1].name}' inserted") not in used:
             n = hit[1].node

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graftwork.engine import facts
 from graftwork.engine.diff import diff, multi_file
-from graftwork.engine.merge import merge
+from graftwork.engine.merge import edit, merge, reused
 from graftwork.operators import scoring, trees
 from graftwork.parse import LANGUAGES, Limits, Node, ParseLimit, parse
 
@@ -108,16 +108,22 @@ def nodes(files: DataFrame, id_col: str, text_col: str, lang: str | Column, logi
 
 
 def _changed(pairs: DataFrame) -> DataFrame:
-    """Pairs of a known language whose sides differ, without other columns. Nulls differ from each other."""
-    return pairs.where(pairs["lang"].isin(*LANGUAGES) & ~F.coalesce(pairs["old_text"] == pairs["new_text"], F.lit(False))).select("commit", "file_path", "lang", "old_text", "new_text")
+    """Pairs of a known language whose sides differ, without other columns than windows. Nulls differ from each other."""
+    kept = [c for c in pairs.columns if c == "windows"]
+    return pairs.where(pairs["lang"].isin(*LANGUAGES) & ~F.coalesce(pairs["old_text"] == pairs["new_text"], F.lit(False))).select("commit", "file_path", "lang", "old_text", "new_text", *kept)
 
 
 def file_diffs(pairs: DataFrame, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
-    """A row for each changed file: operations, patterns, violations of guards."""
+    """A row for each changed file: operations, patterns, violations of guards.
+
+    A column windows (array of first and last row, from 0) keeps the comparison of files above a megabyte to what overlaps one of them.
+    """
 
     def each(row, tree) -> list[tuple]:
         (a, e), (b, f) = tree(row.old_text, row.lang), tree(row.new_text, row.lang)
-        ops = diff(a, b)
+        windows = getattr(row, "windows", None)
+        some = None if windows is None else [tuple(map(int, w.values() if isinstance(w, dict) else w)) for w in windows]
+        ops = diff(a, b, some, max(len((t or "").encode()) for t in (row.old_text, row.new_text)) if some else 0)
         return [(row.commit, row.file_path, ops, facts.patterns(ops, a, b), facts.violations(row.file_path, a, b) if a and b else [], e or f)]
 
     return _kernel(_changed(pairs), each, FILES, logic_only, limits)
@@ -151,6 +157,27 @@ def by_commit(pairs: DataFrame, events: bool, logic_only: bool = False, limits:
     return _spread(_changed(pairs), "commit").groupBy("commit").applyInPandas(events_of if events else moves_of, EVENTS if events else FILES)
 
 
+def reuse(pairs: DataFrame, logic_only: bool = False, limits: Limits | None = None) -> DataFrame:
+    """By changed file with both sides: nodes of the new tree, those outside the edit, and those of them that keep their hashes. Sums of these columns are those of many files."""
+
+    def each(row, tree) -> list[tuple]:
+        a, b = tree(row.old_text, row.lang)[0], tree(row.new_text, row.lang)[0]
+        if a is None or b is None:
+            return []
+        return [(row.commit, row.file_path, *reused(a, b, edit(row.old_text, row.new_text)).values())]
+
+    return _kernel(_changed(pairs), each, "commit STRING, file_path STRING, nodes LONG, outside LONG, reused LONG", logic_only, limits)
+
+
+def symbol_counts(pairs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Symbols of both sides of the changed files, by commit."""
+
+    def each(row, tree) -> list[tuple]:
+        return [(row.commit, sum(len(facts.symbols(tree(t, row.lang)[0], row.file_path)) for t in (row.old_text, row.new_text)))]
+
+    return _kernel(_changed(pairs), each, "commit STRING, symbols LONG", False, limits).groupBy("commit").agg(F.sum("symbols").alias("symbols"))
+
+
 def functions_and_calls(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Definitions and calls of files (commit, file_path, lang, text)."""
 

@@ -125,3 +125,15 @@ def test_paths():
     for pattern, yes, no in (("src/**/*.rs", "src/a/b.rs", "lib/a.rs"), ("**/*.{js,ts}", "a/b.ts", "a/b.rs"), ("*.py", "a.py", "b/a.py"), ("a[!b]c?", "axcd", "abcd")):
         assert re.match(glob_regex(pattern), yes) and not re.match(glob_regex(pattern), no)
     assert re.match(glob_regex("src/**/*.rs"), "src/b.rs")
+
+
+def test_windows_reuse_and_symbols(spark):
+    big = "".join(f"fn func_{i}(x: i32) -> i32 {{\n    x + {i}\n}}\n" for i in range(2000)) + "// " + "x" * (1 << 20) + "\n"
+    changed = big.replace("x + 10\n", "x + 11111\n").replace("x + 1500\n", "x + 22222\n")
+    df = spark.createDataFrame([("c", "a.rs", "rust", big, changed)], "commit STRING, file_path STRING, lang STRING, old_text STRING, new_text STRING")
+    whole = [r["details"] for r in rows(code.operations(code.file_diffs(df)))]
+    some = [r["details"] for r in rows(code.operations(code.file_diffs(df.selectExpr("*", "array(named_struct('lo', 29, 'hi', 33)) AS windows"))))]
+    assert any("func_1500" in d for d in whole) and any("func_10'" in d for d in some) and not any("func_1500" in d for d in some)
+    r = rows(code.reuse(df))[0]
+    assert 0 < r["reused"] <= r["outside"] < r["nodes"]
+    assert rows(code.symbol_counts(df))[0]["symbols"] == 4000

@@ -229,3 +229,41 @@ def test_unclosed_elements_do_not_nest():
         tags += [n.text] if n.kind == "tag_name" else []
         stack += [(c, d + 1) for c in n.children]
     assert depth < 12 and tags.count("li") == 3000 and tags.count("td") == 6000
+
+
+def test_a_parse_is_stopped(monkeypatch):
+    import time
+
+    import pytest
+
+    from graftwork import parse
+
+    monkeypatch.setattr(parse, "parse_json", lambda text: time.sleep(5))
+    began = time.monotonic()
+    with pytest.raises(parse.ParseLimit):
+        parse.parse("{}", "json", limits=parse.Limits(timeout_ms=50))
+    assert time.monotonic() - began < 2
+
+
+def test_index_finds_by_all_keys():
+    from graftwork.engine.diff import Index
+    from graftwork.parse import parse
+
+    a, b = parse("fn one(x: i32) -> i32 { x + 1 }", "rust"), parse("fn two(x: i32) -> i32 { x + 1 }", "rust")
+    index = Index({"a.rs": a, "b.rs": b})
+    f = a.children[0]
+    assert index.find("name", (f.kind, "one"), "b.rs")[0] == "a.rs" and index.find("name", (f.kind, "one"), "a.rs") is None
+    assert index.find("structure", f.structural, "a.rs")[0] == "b.rs" and index.find("identity", f.identity, "a.rs")[1].name == "two"
+
+
+def test_settings(tmp_path, monkeypatch):
+    from graftwork import cli
+
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    (tmp_path / "home" / ".config" / "graftwork").mkdir(parents=True)
+    (tmp_path / "home" / ".config" / "graftwork" / "graftwork.toml").write_text("[output]\nformat = 'md'\n")
+    assert cli.config(str(tmp_path))["output"] == {"format": "md"}
+    (tmp_path / "graftwork.toml").write_text("[default]\nlogic_only = true\nother = 1\n[limits]\nmax_nodes = 'many'\n")
+    assert cli.config(str(tmp_path)) == {"default": {"logic_only": True}, "limits": {}, "output": {}}
+    (tmp_path / ".graftwork.toml").write_text("not = = toml")
+    assert cli.config(str(tmp_path))["default"] == {"logic_only": True}
