@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--path")
     d.add_argument("--format", default=None)
     d.add_argument("--config")
+    d.add_argument("--cache", help="folder of results that are kept by content")
     for flag in ("--staged", "--logic-only", "--check", "--compact", "--full"):
         d.add_argument(flag, action="store_true")
     li = sub.add_parser("lint")
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from graftwork.operators import code, lint, report
     from graftwork.parse import Limits
-    from graftwork.sources import git
+    from graftwork.sources import cache, git
 
     spark = SparkSession.builder.getOrCreate()
     if a.command == "lint":
@@ -89,7 +90,8 @@ def main(argv: list[str] | None = None) -> int:
         form = a.format or ("json" if default.get("json") else settings.get("output", {}).get("format"))
         compact, full, check, logic = a.compact, a.full, a.check, a.logic_only or default.get("logic_only", False)
     limits = Limits(**settings.get("limits", {}))
-    diffs = code.file_diffs(pairs, logic, limits).persist()
+    kept = getattr(a, "cache", None)
+    diffs = (cache.diffs(pairs, kept, logic, limits) if kept else code.file_diffs(pairs, logic, limits)).persist()
     files = report.collect(diffs, name)
     more = report.about(pairs, diffs, name, logic, limits)
     print(report.render(files, form, name, more) if form else report.show(files, compact, full, more))

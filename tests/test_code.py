@@ -137,3 +137,16 @@ def test_windows_reuse_and_symbols(spark):
     r = rows(code.reuse(df))[0]
     assert 0 < r["reused"] <= r["outside"] < r["nodes"]
     assert rows(code.symbol_counts(df))[0]["symbols"] == 4000
+
+
+def test_results_are_kept(spark, tmp_path, monkeypatch):
+    p = snippets.pairs(spark)
+    key = lambda df: sorted((r["commit"], r["file_path"], str(r["operations"])) for r in rows(df))
+    want = key(code.file_diffs(p))
+    assert key(cache.diffs(p, f"{tmp_path}/diffs")) == want
+    entries = cache.stats(spark, f"{tmp_path}/diffs").first().entries
+    assert key(cache.diffs(p, f"{tmp_path}/diffs")) == want and cache.stats(spark, f"{tmp_path}/diffs").first().entries == entries
+    files = p.where("new_text is not null").selectExpr("file_path", "lang", "new_text AS text").unionByName(p.where("file_path = 'conf.json'").selectExpr("'copy.json' AS file_path", "lang", "new_text AS text"))
+    whole = sorted(map(str, code.nodes(files, "file_path", "text", files["lang"]).collect()))
+    for _ in range(2):
+        assert sorted(map(str, cache.trees(files, f"{tmp_path}/trees").select(*[f.split()[0] for f in code._fields(code.NODES)]).collect())) == whole
