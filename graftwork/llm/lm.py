@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, Words, lean, raw, slices
+from graftwork.llm.batches import U, Words, _tables, lean, raw, slices
 from graftwork.storage import cut, drop
 
 VOCABULARY, HIDDEN, CLASSES = 2000, 24, 32
@@ -85,40 +85,41 @@ class Lexicon:
         n = len(data)
         step = np.zeros(n + 1, np.float64)
         if n > 1:
-            step[2:] = np.cumsum(self.spelling[data[:-1], data[1:]], dtype=np.float64)
+            step[2:] = np.cumsum(self.spelling.reshape(-1).take(data[:-1] * 256 + data[1:]), dtype=np.float64)
         # step[k + 1]: transitions up to byte k; each word begins and ends with byte 0
         own = step[words.end] - step[words.start + 1] + self.spelling[0, data[words.start]] + self.spelling[data[words.end - 1], 0] if len(ids) else np.zeros(0)
         return np.bincount(words.row, np.where(ids == UNKNOWN, own, 0.0), len(words.at) - 1)
 
     def rest(self, words: Words, column: pa.Array) -> np.ndarray:
         """By row: log-probability of what stands between its words, and of its words' capitals."""
-        pair, first, last = between(words)
+        pair, at, first, last = between(words)
         value = np.append(self.gaps.reshape(-1), np.float32(0)).astype(np.float64)  # at -1: nothing
         total = np.concatenate([[0.0], np.cumsum(value[pair])])
-        out = total[words.at[1:]] - total[words.at[:-1]] + value[first] + value[last]
+        edge = np.searchsorted(at, words.at)
+        out = total[edge[1:]] - total[edge[:-1]] + value[first] + value[last]
         kind, size = capitals(words, column)
         return out + np.bincount(words.row, self.cases[kind] - np.where(kind == OTHER, size * np.log(2), 0.0), len(words.at) - 1)
 
 
-def between(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of bytes of what stands between words, 0 at its ends, as one number each; the pairs before each byte, and two more a row: of its first gap where that is empty, and of the end of its last."""
-    data, n = words.data, len(words.data)
-    inside = np.zeros(n + 1, np.int8)
-    np.add.at(inside, words.start, 1)
-    np.add.at(inside, words.end, -1)
-    gap = np.cumsum(inside[:-1]) == 0
-    byte = np.where(gap, data, 0).astype(np.int64)
-    begins = words.at[:-1][np.diff(words.at) > 0]
-    before, was = np.zeros(n, np.int64), np.zeros(n, bool)
-    before[1:], was[1:] = byte[:-1], gap[:-1]
-    before[begins], was[begins] = 0, False
-    pair = np.where(gap | was, before * 256 + byte, -1)
+def between(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of bytes of what stands between words, 0 at its ends, as one number each, and the bytes that they go up to; and two more a row: of its first gap where that is empty (else below 0), and of the end of its last."""
+    data = words.data
+    gap = ~_tables()[0][data]
     full = np.diff(words.at) > 0
-    last = np.zeros(len(full), np.int64)
-    last[full] = byte[words.at[1:][full] - 1] * 256
-    word_first = np.zeros(len(full), bool)
-    word_first[full] = ~gap[words.at[:-1][full]]
-    return pair, np.where(word_first, 0, -1), last
+    used = gap.copy()
+    used[1:] |= gap[:-1]
+    begins = words.at[:-1][full]
+    used[begins] = gap[begins]
+    at = np.flatnonzero(used)
+    byte, before = np.where(gap[at], data[at], 0).astype(np.int64), np.where(gap[at - 1], data[at - 1], 0).astype(np.int64)
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[begins] = True
+    before[fresh[at]] = 0
+    last, first = np.zeros(len(full), np.int64), np.full(len(full), -1)
+    ends = words.at[1:][full] - 1
+    last[full] = np.where(gap[ends], data[ends], 0).astype(np.int64) * 256
+    first[full] = np.where(gap[begins], -1, 0)
+    return before * 256 + byte, at, first, last
 
 
 def capitals(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +136,8 @@ def capitals(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _bigrams(words: Words) -> np.ndarray:
     """Counts of byte pairs within words, 0 before and after each."""
     d = words.data.astype(np.int64)
-    inside = np.ones(len(d), bool)
+    inside = _tables()[0][words.data]
     inside[words.start] = False
-    cover = np.zeros(len(d) + 1, np.int64)
-    np.add.at(cover, words.start, 1)
-    np.add.at(cover, words.end, -1)
-    inside &= np.cumsum(cover[:-1]) > 0
     k = np.flatnonzero(inside)
     out = np.bincount(d[k - 1] * 256 + d[k], minlength=65536)
     out += np.bincount(d[words.start], minlength=65536) + np.bincount(d[words.end - 1] * 256, minlength=65536)
@@ -165,7 +162,8 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
             for b in slices(batch):
                 w = Words(b.column(0))
                 pairs += _bigrams(w)
-                for x in between(w):
+                pair, _, *ends = between(w)
+                for x in (pair, *ends):
                     gaps += np.bincount(x + 1, minlength=65537)
                 cases += np.bincount(capitals(w, b.column(0))[0], minlength=4)
                 texts += b.num_rows
@@ -400,9 +398,10 @@ def sequence(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def windows(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Inputs, targets (below 0 where a stream has no more), 0 where a text begins, each [WINDOW, streams]; and which of the streams before are still there.
+    """Inputs, targets (below 0 where a stream has no more), 0 where a text begins, each [steps, streams]; and which of the streams before are still there.
 
-    A stream takes one text after the other, whole; what is left of a batch goes on with the next one.
+    A stream takes one text after the other, whole, the longest of a batch first; what is left of a batch goes on with the next one.
+    There are WINDOW steps, more when only few long texts are left.
     """
     batches = iter(batches)
     source = target = np.zeros(0, np.int32)
@@ -419,7 +418,8 @@ def windows(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
             size = np.cumsum([0] + [b - a for a, b in left])
             source, target = (np.concatenate([*(old[a:b] for a, b in left), new]) for old, new in ((source, x), (target, y)))
             at, end = size[: len(at)], size[1 : len(at) + 1]
-            queue = [*zip(size[len(at) : -1].tolist(), size[len(at) + 1 :].tolist()), *zip((first[:-1] + size[-1]).tolist(), (first[1:] + size[-1]).tolist())]
+            fresh_texts = sorted(zip((first[:-1] + size[-1]).tolist(), (first[1:] + size[-1]).tolist()), key=lambda t: t[0] - t[1])
+            queue = [*zip(size[len(at) : -1].tolist(), size[len(at) + 1 :].tolist()), *fresh_texts]
             ahead = sum(b - a for a, b in queue)
             if not streams and queue:
                 streams = min(STREAMS, len(queue))
@@ -430,19 +430,21 @@ def windows(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
             at, end = at[kept], end[kept]
         if not len(at):
             return
-        steps = np.arange(WINDOW)[:, None]
+        # the last, long texts go in few streams: longer windows, so that their number doesn't grow
+        length = WINDOW if more or queue else WINDOW * min(16, max(1, streams // len(at)))
+        steps = np.arange(length)[:, None]
         place = np.minimum(at + steps, len(source) - 1)
         inside = at + steps < end
-        ids, goal, fresh = source[place], np.where(inside, target[place], -1), np.ones((WINDOW, len(at)), np.float32)
-        at = at + WINDOW
+        ids, goal, fresh = source[place], np.where(inside, target[place], -1), np.ones((length, len(at)), np.float32)
+        at = at + length
         short, taken = np.flatnonzero(at >= end), 0
         for k in short.tolist():
-            t = WINDOW - int(at[k] - end[k])
+            t = length - int(at[k] - end[k])
             at[k] = end[k]
-            while t < WINDOW and taken < len(queue):
+            while t < length and taken < len(queue):
                 a, b = queue[taken]
                 taken += 1
-                n = min(WINDOW - t, b - a)
+                n = min(length - t, b - a)
                 ids[t : t + n, k], goal[t : t + n, k], fresh[t, k] = source[a : a + n], target[a : a + n], 0
                 t, at[k], end[k] = t + n, a + n, b
                 ahead -= b - a

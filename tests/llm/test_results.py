@@ -367,7 +367,8 @@ def test_all_bytes_are_scored():
             kind = 0 if not any(upper) else 1 if upper[0] and sum(upper) == 1 else 2 if all(upper) else 3
             want += math.log(case[kind]) - (len(w) * math.log(2) if kind == 3 else 0)
         assert got[i] == pytest.approx(want, rel=1e-5), t
-    every = sum(np.bincount(x + 1, minlength=65537) for x in lm.between(words))[1:]
+    pair, _, *ends = lm.between(words)
+    every = sum(np.bincount(x + 1, minlength=65537) for x in (pair, *ends))[1:]
     assert every.sum() == sum(len(g) + 1 for t in texts for g in re.split(r"[^\W_]+", t))
 
 
