@@ -68,9 +68,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, k: int) -> np.ndarray:
-    p = np.full(n + 1, U(k))
-    p[0] = 1
-    return np.multiply.accumulate(p)
+    p, done = np.ones(n + 1, U), 1
+    while done <= n:  # the next as many as there are
+        more = min(done, n + 1 - done)
+        np.multiply(p[:more], U(pow(k, done, 1 << 64)), out=p[done : done + more])
+        done += more
+    return p
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +86,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return word, mix(lower.astype(U) + U(0x1234567))
 
 
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes words are made of, as in _tables(), but without a look-up for each."""
+    return ((data | np.uint8(32)) - np.uint8(97) < 26) | (data - np.uint8(48) < 10) | (data > 127)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each row in them."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -96,11 +104,11 @@ class Words:
     """The words of some texts: byte spans, row of each, 64-bit hash of the lower-case form; first[i]:first[i + 1] are row i's."""
 
     def __init__(self, column: pa.Array, lower: bool = True) -> None:
-        is_word, value = _tables()
+        value = _tables()[1]
         self.data, self.at = raw(pc.utf8_lower(column.cast(pa.large_string())) if lower else column)
         n = len(self.data)
         inside = np.zeros(n + 2, np.int8)
-        inside[1:-1] = is_word[self.data]
+        inside[1:-1] = in_words(self.data)
         step = np.diff(inside)
         cut = self.at[1:-1]
         cut = cut[(cut > 0) & (cut < n)]
@@ -108,8 +116,8 @@ class Words:
         self.start = np.flatnonzero(step == 1)
         self.end = np.flatnonzero(step == -1)
         if len(cut):
-            self.start = np.sort(np.concatenate([self.start, cut]))
-            self.end = np.sort(np.concatenate([self.end, cut]))
+            self.start = np.sort(np.concatenate([self.start, cut]), kind="stable")  # merges the two
+            self.end = np.sort(np.concatenate([self.end, cut]), kind="stable")
         sums = np.zeros(n + 1, U)
         np.cumsum(value[self.data] * _powers(n, _K)[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * _powers(n, _K_INVERSE)[self.start] + (self.end - self.start).astype(U))

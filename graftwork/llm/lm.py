@@ -17,7 +17,7 @@ with truncated backpropagation (the state goes on from window to window, gradien
 whole text after the other, from the first token to the last, with an empty state for each), and the replicas are averaged by their tokens, in
 two levels. What is gathered - word counts, spellings, replicas - so grows with the corpus.
 
-Scoring runs all documents of a batch in step, longest first, each with its
+Scoring runs the documents of a batch in step, longest first and TEXTS together, each with its
 state from the first token to the last, and takes the softmaxes of many steps at once.
 
 Defined results: null text counts as empty; an empty text is its end alone;
@@ -37,15 +37,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.batches import U, Words, _tables, lean, raw, slices
+from graftwork.llm.batches import U, Words, _tables, in_words, lean, raw, slices
 from graftwork.storage import cut, drop
 
 VOCABULARY, HIDDEN, CLASSES = 2000, 24, 32
 STREAMS, WINDOW, RATE, ROUNDS = 512, 16, 0.01, 2
 #: Tokens whose softmaxes are taken at once.
 AT_ONCE = 8192
+#: Texts that are scored in step.
+TEXTS = 1024
 #: Bytes of text that are scored at once.
 SCORED_BYTES = 32_000_000
+#: Logits that exp() takes as they are.
+BOUNDED = 60.0
 #: Rows that go into one replica's part of an average; parts of parameters are rows.
 FAN = 64
 END, UNKNOWN = 0, 1
@@ -59,36 +63,48 @@ class Lexicon:
     """Ids of words by hash, their classes, and the log-probabilities of spellings, of what stands between words and of capitals."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, words: int, bigrams: np.ndarray, gaps: np.ndarray, cases: np.ndarray) -> None:
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
         size = len(hashes) + 2
         root = np.sqrt(counts.astype(float))
         bins = np.minimum((np.cumsum(root) - root / 2) / max(root.sum(), 1e-9) * (CLASSES - 2), CLASSES - 3).astype(int)
         _, bins = np.unique(bins, return_inverse=True)  # no empty classes
-        self.of = np.concatenate([[0, 1], bins + 2]).astype(np.int32)
+        self.of = np.concatenate([[0, 1], bins + 2]).astype(np.int16)  # sorted by digits
         self.start = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
         share = np.concatenate([[texts], [max(words - counts.sum(), 1)], counts]).astype(float) + 1
         self.unigram = np.log(share / share.sum()).astype(np.float32)
         self.spelling, self.gaps = (np.log((x + 0.01) / (x + 0.01).sum(1, keepdims=True)).astype(np.float32) for x in (bigrams.astype(float), gaps.astype(float)))
         self.cases = np.log((cases + 1) / (cases + 1).sum())
         self.size = size
+        # tables of ids by 16 bits of the hash each, those that meet in one going to the next, and at last a search
+        self.by_id, self.slots, left = np.concatenate([np.zeros(2, U), hashes.astype(U)]), [], np.arange(2, size)
+        for shift in (0, 16):
+            slot, slots = self._slot(self.by_id[left], shift), np.full(1 << 16, UNKNOWN, np.int32)
+            slots[slot] = left
+            self.slots.append((shift, slots))
+            left = left[slots[slot] != left]
+        self.left = left[np.argsort(self.by_id[left])]
+
+    @staticmethod
+    def _slot(hashes: np.ndarray, shift: int) -> np.ndarray:
+        return (hashes >> U(shift) & U(0xFFFF)).astype(np.intp)
 
     def ids(self, words: Words) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words.hash), UNKNOWN, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words.hash, self.order[at] + 2, UNKNOWN).astype(np.int32)
+        out = np.full(len(words.hash), UNKNOWN, np.int32)
+        tables = [slots.take(self._slot(words.hash, shift)) for shift, slots in self.slots]
+        if len(self.left):
+            tables.append(self.left[np.minimum(np.searchsorted(self.by_id[self.left], words.hash), len(self.left) - 1)])
+        for found in tables:
+            np.copyto(out, found, where=self.by_id.take(found) == words.hash, casting="same_kind")
+        return out
 
     def spelled(self, words: Words, ids: np.ndarray) -> np.ndarray:
         """By row: log-probability of the spellings of its unknown words."""
-        data = words.data.astype(np.int32)
-        n = len(data)
-        step = np.zeros(n + 1, np.float64)
-        if n > 1:
-            step[2:] = np.cumsum(self.spelling.reshape(-1).take(data[:-1] * 256 + data[1:]), dtype=np.float64)
-        # step[k + 1]: transitions up to byte k; each word begins and ends with byte 0
-        own = step[words.end] - step[words.start + 1] + self.spelling[0, data[words.start]] + self.spelling[data[words.end - 1], 0] if len(ids) else np.zeros(0)
-        return np.bincount(words.row, np.where(ids == UNKNOWN, own, 0.0), len(words.at) - 1)
+        total = np.zeros(max(len(words.data), 1))
+        np.cumsum(self.spelling.reshape(-1).take(adjacent(words.data)), dtype=np.float64, out=total[1:])
+        # total[k]: transitions up to byte k; each word begins and ends with byte 0
+        some = np.flatnonzero(ids == UNKNOWN)
+        start, last = words.start[some], words.end[some] - 1
+        own = total[last] - total[start] + self.spelling[0, words.data[start]] + self.spelling[words.data[last], 0]
+        return np.bincount(words.row[some], own, len(words.at) - 1)
 
     def rest(self, words: Words, column: pa.Array) -> np.ndarray:
         """By row: log-probability of what stands between its words, and of its words' capitals."""
@@ -104,14 +120,15 @@ class Lexicon:
 def between(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of bytes of what stands between words, 0 at its ends, as one number each, and the bytes that they go up to; and two more a row: of its first gap where that is empty (else below 0), and of the end of its last."""
     data = words.data
-    gap = ~_tables()[0][data]
+    gap = ~in_words(data)
+    shown = data * gap
     full = np.diff(words.at) > 0
     used = gap.copy()
     used[1:] |= gap[:-1]
     begins = words.at[:-1][full]
     used[begins] = gap[begins]
     at = np.flatnonzero(used)
-    byte, before = np.where(gap[at], data[at], 0).astype(np.int64), np.where(gap[at - 1], data[at - 1], 0).astype(np.int64)
+    byte, before = shown[at].astype(np.int64), shown[at - 1].astype(np.int64)
     fresh = np.zeros(len(data) + 1, bool)
     fresh[begins] = True
     before[fresh[at]] = 0
@@ -123,32 +140,65 @@ def between(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def capitals(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The kind of each word's capitals, and its characters."""
-    high, low = (np.frombuffer(x.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32) for x in (raw(column)[0], words.data))
-    character = np.cumsum((words.data & 0xC0) != 0x80)
-    ends = np.concatenate([[0], character])
-    seen = np.concatenate([[0], np.cumsum(high != low)])
-    a, b = ends[words.start], ends[words.end]
-    upper, first = seen[b] - seen[a], seen[np.minimum(a + 1, len(seen) - 1)] - seen[a]
-    return np.where(upper == 0, SMALL, np.where((upper == 1) & (first == 1), FIRST, np.where(upper == b - a, ALL, OTHER))), b - a
-
-
-def _bigrams(words: Words) -> np.ndarray:
-    """Counts of byte pairs within words, 0 before and after each."""
-    d = words.data.astype(np.int64)
-    inside = _tables()[0][words.data]
-    inside[words.start] = False
-    k = np.flatnonzero(inside)
-    out = np.bincount(d[k - 1] * 256 + d[k], minlength=65536)
-    out += np.bincount(d[words.start], minlength=65536) + np.bincount(d[words.end - 1] * 256, minlength=65536)
+    """The kind of each word's capitals, and the characters of those that have some."""
+    high, low = raw(column)[0], words.data
+    inner = (low & 0xC0) == 0x80
+    if len(high) == len(low) and np.array_equal((high & 0xC0) == 0x80, inner):  # characters as long in lower case
+        at = np.flatnonzero(high != low)
+        for _ in range(3):
+            at = at - inner[at]
+        at = at[np.diff(at, prepend=-1) > 0]
+    else:
+        high, low = (np.frombuffer(x.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32) for x in (high, low))
+        at = np.flatnonzero(~inner)[high != low]
+    word = np.searchsorted(words.start, at, "right") - 1
+    upper, first = np.bincount(word, minlength=len(words.start)), np.zeros(len(words.start), bool)
+    first[word[words.start[word] == at]] = True
+    some = np.flatnonzero(upper)
+    inner = np.flatnonzero(inner)
+    start, end = words.start[some], words.end[some]
+    kind, size = np.full(len(upper), SMALL), np.zeros(len(upper), np.int64)
+    size[some] = end - start - (np.searchsorted(inner, end) - np.searchsorted(inner, start))
+    kind[some] = np.where((upper[some] == 1) & first[some], FIRST, np.where(upper[some] == size[some], ALL, OTHER))
+    return kind, size
+
+
+def adjacent(data: np.ndarray) -> np.ndarray:
+    """Each byte but the last with the next one, as one number."""
+    out = data[:-1].astype(np.uint16)
+    out <<= 8
+    out |= data[1:]
     return out
 
 
+def pair_counts(words: Words) -> np.ndarray:
+    """Counts of byte pairs of the same row; then of rows' first bytes, of their last ones, and of empty rows."""
+    full = np.diff(words.at) > 0
+    first, last = words.data[words.at[:-1][full]], words.data[words.at[1:][full] - 1]
+    pairs = np.bincount(adjacent(words.data), minlength=65536)
+    pairs -= np.bincount(last[:-1].astype(np.int64) * 256 + first[1:], minlength=65536)
+    return np.concatenate([pairs, np.bincount(first, minlength=256), np.bincount(last, minlength=256), [np.sum(~full)]])
+
+
+def spelling_and_gaps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pair_counts(): counts of pairs within words, and within what stands between them (as between() has them), 0 before and after each."""
+    pairs, (first, last) = counts[:65536].reshape(256, 256), counts[65536:-1].reshape(2, 256)
+    word, gaps = _tables()[0], np.zeros((256, 256), np.int64)
+    spelling = np.where(word[:, None] & word, pairs, 0)
+    spelling[0] += np.where(word, pairs[~word].sum(0) + first, 0)
+    spelling[:, 0] += np.where(word, pairs[:, ~word].sum(1) + last, 0)
+    gaps += np.where(word[:, None] | word, 0, pairs)
+    gaps[0] += np.where(word, 0, pairs[word].sum(0) + first)
+    gaps[:, 0] += np.where(word, 0, pairs[:, word].sum(1) + last)
+    gaps[0, 0] += first[word].sum() + last[word].sum() + counts[-1]
+    return spelling.ravel(), gaps.ravel()
+
+
 def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
     """From all documents: words are counted by task and then together, and so are the bigrams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, gaps, cases, texts, held = np.zeros(65536, np.int64), np.zeros(65537, np.int64), np.zeros(4, np.int64), 0, []
+        pairs, cases, texts, held = np.zeros(65536 + 513, np.int64), np.zeros(4, np.int64), 0, []
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
             h, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
@@ -161,10 +211,7 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
         for batch in batches:
             for b in slices(batch):
                 w = Words(b.column(0))
-                pairs += _bigrams(w)
-                pair, _, *ends = between(w)
-                for x in (pair, *ends):
-                    gaps += np.bincount(x + 1, minlength=65537)
+                pairs += pair_counts(w)
                 cases += np.bincount(capitals(w, b.column(0))[0], minlength=4)
                 texts += b.num_rows
                 held.append(np.unique(w.hash, return_counts=True))
@@ -176,11 +223,12 @@ def lexicon(docs: DataFrame, most: int = VOCABULARY) -> Lexicon:
         if held:
             h, c = merged(held)
             yield rows(0, h.view(np.int64), c)
-        some = np.flatnonzero(pairs)
-        yield rows(1, some, pairs[some])
+        spelling, gaps = spelling_and_gaps(pairs)
+        some = np.flatnonzero(spelling)
+        yield rows(1, some, spelling[some])
         yield rows(2, np.zeros(1, np.int64), np.array([texts]))
-        some = np.flatnonzero(gaps[1:])
-        yield rows(3, some, gaps[1:][some])
+        some = np.flatnonzero(gaps)
+        yield rows(3, some, gaps[some])
         yield rows(4, np.arange(4), cases)
 
     text = docs.select(docs["text"])
@@ -222,20 +270,28 @@ class Network:
         return np.concatenate([x.ravel() for x in self.p.values()])
 
     def load(self, flat: np.ndarray) -> None:
+        """Takes the parameters from an array that flat() gave; where that is of float32, they remain a part of it."""
         at = 0
         for k, x in self.p.items():
-            self.p[k] = flat[at : at + x.size].astype(np.float32).reshape(x.shape)
+            self.p[k] = flat[at : at + x.size].astype(np.float32, copy=False).reshape(x.shape)
             at += x.size
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """x: the input's part of the gates. The next state, and what backpropagation needs."""
-        n, p = self.hidden, self.p
-        a = h @ p["u"]
-        zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        an = a[:, 2 * n :] + p["bn"]
-        c = np.tanh(x[:, 2 * n :] + r * an)
-        return c + z * (h - c), z, r, an, c
+        x, h, n, p = x.T, h.T, self.hidden, self.p
+        a = p["u"].T @ h
+        zr, an = a[: 2 * n], a[2 * n :]
+        zr += x[: 2 * n]
+        _sigmoid(zr)
+        z, r = zr[:n], zr[n:]
+        an += p["bn"][:, None]
+        c = r * an
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new.T, z.T, r.T, an.T, c.T
 
     def gates(self) -> np.ndarray:
         """The input's part of the gates by word."""
@@ -244,79 +300,113 @@ class Network:
     def losses(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each target; with grad, adds the parameters' gradients of -sum and returns that of the states."""
         p, lex = self.p, self.lexicon
-        of, rows = lex.of[target], np.arange(len(target))
-        a = h @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[rows, of] - np.log(total)
-        dh = None
+        of = lex.of[target]
+        order = np.argsort(of, kind="stable")  # a class's targets are a range
+        target = target[order]
+        edge = np.searchsorted(of[order], np.arange(len(lex.start))).tolist()
+        states, d = np.ones((self.hidden + 1, len(order)), h.dtype), None  # the last: biases
+        h.T.take(order, 1, out=states[:-1], mode="clip")
+        wc, wo = np.vstack([p["wc"], p["bc"]]), np.column_stack([p["wo"], p["bo"]])
+        # sums of exponentials of numbers up to BOUNDED are numbers too: only beyond it the greatest is subtracted first
+        most = max(float(states.max()), -float(states.min())) if len(order) else 0.0
+        bounded = most * max(float(np.abs(wc).sum(0).max()), float(np.abs(wo).sum(1).max())) < BOUNDED
+        a = wc.T @ states
+        if not bounded:
+            a -= a.max(0)
+        out = np.concatenate([a[k, edge[k] : edge[k + 1]] for k in range(len(a))])
+        np.exp(a, out=a)
+        total = a.sum(0)
+        out -= np.log(total)
         if grad is not None:
-            e /= total[:, None]
-            e[rows, of] -= 1
-            grad["wc"] += h.T @ e
-            grad["bc"] += e.sum(0)
-            dh = e @ p["wc"].T
-        order = np.argsort(of, kind="stable")
-        edge = np.searchsorted(of[order], np.arange(len(lex.start)))
-        for k in range(2, len(lex.start) - 1):
-            i = order[edge[k] : edge[k + 1]]
-            lo, hi = lex.start[k], lex.start[k + 1]
-            if not len(i) or hi - lo < 2:
+            a /= total
+            for k in range(len(a)):
+                a[k, edge[k] : edge[k + 1]] -= 1
+            g, by_word = states @ a.T, np.zeros_like(wo)
+            grad["wc"] += g[:-1]
+            grad["bc"] += g[-1]
+            d = p["wc"] @ a
+        for k in range(2, len(a)):
+            i, j, lo, hi = edge[k], edge[k + 1], lex.start[k], lex.start[k + 1]
+            if i == j or hi - lo < 2:
                 continue
-            hk, w, t, own = h[i], p["wo"][lo:hi], target[i] - lo, np.arange(len(i))
-            b = hk @ w.T + p["bo"][lo:hi]
-            b -= b.max(1, keepdims=True)
-            f = np.exp(b)
-            total = f.sum(1)
-            out[i] += b[own, t] - np.log(total)
+            hk, w = states[:, i:j], wo[lo:hi]
+            b = w @ hk
+            if not bounded:
+                b -= b.max(0)
+            own, flat = (target[i:j] - lo) * (j - i) + np.arange(j - i), b.reshape(-1)
+            out[i:j] += flat[own]
+            np.exp(b, out=b)
+            total = b.sum(0)
+            out[i:j] -= np.log(total)
             if grad is not None:
-                f /= total[:, None]
-                f[own, t] -= 1
-                grad["wo"][lo:hi] += f.T @ hk
-                grad["bo"][lo:hi] += f.sum(0)
-                dh[i] += f @ w
-        return out, dh
+                b /= total
+                flat[own] -= 1
+                by_word[lo:hi] = b @ hk.T
+                d[:, i:j] += w[:, :-1].T @ b
+        if grad is not None:
+            grad["wo"] += by_word[:, :-1]
+            grad["bo"] += by_word[:, -1]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out[back], None if d is None else d.take(back, 1).T
 
     def window(self, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, over: float | None = None) -> tuple[float, dict, np.ndarray]:
         """One window of all streams, [steps, streams], targets below 0 being none: its log-likelihood, the gradients of the loss over `over` (the mean by default), and the state it ends with."""
         p, n, (steps, streams) = self.p, self.hidden, ids.shape
-        x = self.gates()[ids]
-        kept, states = [], np.empty((steps, streams, n), np.float32)
+        gates, kind = self.gates(), h.dtype
+        kept, states = [], np.empty((n, steps, streams), kind)
         for t in range(steps):
-            h = h * fresh[t][:, None]
-            new, *rest = self.step(x[t], h)
+            h = h.T * fresh[t]
+            new, *rest = (v.T for v in self.step(np.asfortranarray(gates.take(ids[t], 0)), h.T))
             kept.append((h, *rest))
-            states[t] = h = new
+            states[:, t] = new
+            h = new.T
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        some = np.flatnonzero(target.ravel() >= 0)
-        scores, own = self.losses(states.reshape(-1, n)[some], target.ravel()[some], grad)
-        d = np.zeros((steps * streams, n), np.float32)
-        d[some] = own
-        d = d.reshape(steps, streams, n)
-        dx = np.empty_like(x)
-        back = np.zeros((streams, n), np.float32)
+        states, goal = states.reshape(n, -1), target.ravel()
+        some = np.flatnonzero(goal >= 0)
+        if len(some) == len(goal):
+            scores, d = self.losses(states.T, goal, grad)
+            d = d.T
+        else:
+            scores, back = self.losses(states.take(some, 1).T, goal[some], grad)
+            d = np.zeros_like(states)
+            d[:, some] = back.T
+        d = d.reshape(n, steps, streams)
+        # what flows back into the candidate behind its gate, z, r and the candidate
+        flow, own = np.empty((steps, 4 * n, streams), kind), np.empty_like(d)
+        u, gu = np.concatenate([p["u"][:, 2 * n :], p["u"][:, : 2 * n]], 1), np.zeros((n, 3 * n), kind)
+        gx = np.zeros((3 * n, n), kind)
+        back = np.zeros((n, streams), kind)
         for t in range(steps - 1, -1, -1):
             before, z, r, an, c = kept[t]
-            dh = d[t] + back
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * an * r * (1 - r)
-            dan = dc * r
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-            da = np.concatenate([dz, dr, dan], 1)
-            grad["u"] += before.T @ da
-            grad["bn"] += dan.sum(0)
-            back = (dh * z + da @ p["u"].T) * fresh[t][:, None]
-        flat = dx.reshape(-1, 3 * n)
-        # by word first, so that the input's matrices see each word once
-        by_word = np.zeros((len(p["embed"]), 3 * n), np.float32)
-        order = np.argsort(ids.ravel(), kind="stable")
-        word, begin = np.unique(ids.ravel()[order], return_index=True)
-        by_word[word] = np.add.reduceat(flat[order], begin, axis=0)
-        grad["embed"] += by_word @ p["wx"].T
-        grad["wx"] += p["embed"].T @ by_word
-        grad["bx"] += flat.sum(0)
+            back += d[:, t]
+            dan, dz, dr, dc = flow[t].reshape(4, n, streams)
+            keep = (1 - z) * back
+            np.multiply(keep, 1 - c * c, out=dc)
+            np.multiply(before - c, z, out=dz)
+            dz *= keep
+            np.multiply(dc, r, out=dan)
+            np.multiply(dan, an, out=dr)
+            dr *= 1 - r
+            da = flow[t, : 3 * n]
+            gu += before @ da.T
+            dx = flow[t, n:]
+            gx += dx @ p["embed"].take(ids[t], 0)
+            own[:, t] = p["wx"] @ dx
+            back *= z
+            back += u @ da
+            back *= fresh[t]
+        grad["u"] += np.concatenate([gu[:, n:], gu[:, :n]], 1)
+        total = flow.sum(2).sum(0)
+        grad["wx"] += gx.T
+        grad["bn"] += total[:n]
+        grad["bx"] += total[n:]
+        word, size = ids.ravel(), len(p["embed"])
+        # the commonest in turn in eight places, as a sum need not wait for the one before
+        word = np.where(word < 2, size + np.arange(len(word)) % 8 * 2 + word, word)
+        by_word = np.stack([np.bincount(word, x.ravel(), size + 16) for x in own])
+        by_word[:, :2] += by_word[:, size:].reshape(-1, 8, 2).sum(1)
+        grad["embed"] += by_word[:, :size].T
         for v in grad.values():
             v /= over or max(1, len(some))
         return float(scores.sum()), grad, h
@@ -324,52 +414,62 @@ class Network:
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], moments: dict, rate: float = RATE) -> tuple[float, int]:
         """One pass over texts (ids and where each begins, as _tokens() has them) with Adam: their log-likelihood and tokens. moments is kept between calls."""
         h, total, tokens, full = None, 0.0, 0, 1
+        flat = self.flat()
+        self.load(flat)
+        m, v = (moments.setdefault(k, np.zeros_like(flat)) for k in ("m", "v"))
         for ids, target, fresh, kept in windows(batches):
             if h is None:
                 h, full = np.zeros((ids.shape[1], self.hidden), np.float32), ids.size
-            score, grad, h = self.window(ids, target, fresh, h[kept], full)
+            score, grad, h = self.window(ids, target, fresh, h[kept] if len(kept) < len(h) else h, full)
             total, tokens = total + score, tokens + int((target >= 0).sum())
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            g = np.concatenate([x.ravel() for x in grad.values()])
+            norm = float(np.sqrt(g @ g))
             k = moments["steps"] = moments.get("steps", 0) + 1
-            scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
             size = np.float32(rate / (1 + k / 2000) * np.sqrt(1 - 0.99**k) / (1 - 0.9**k))
-            for name, g in grad.items():
-                g *= scale
-                m, v = moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                self.p[name] -= size * m / (np.sqrt(v) + np.float32(1e-6))
+            g *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= size
+            flat -= g
         return total, tokens
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log-likelihood of each text's words and its end, the words of text i being ids[first[i]:first[i + 1]]."""
-        size = np.diff(first)
-        order = np.argsort(-size, kind="stable")
-        length, begin = size[order], first[:-1][order]
-        out, gates = np.zeros(len(size)), self.gates()
-        h = np.zeros((len(size), self.hidden), np.float32)
-        active = np.searchsorted(-length, -np.arange(int(length[0]) + 1 if len(length) else 0), "right")  # texts with t words or more
-        held, kept = [], 0
-        current = np.full(len(size), END, np.int32)
-
-        def settle() -> None:
-            nonlocal held, kept
-            states, targets, rows = (np.concatenate([x[k] for x in held]) for k in range(3))
-            np.add.at(out, order[rows], self.losses(states, targets)[0].astype(np.float64))
-            held, kept = [], 0
-
-        for t, n in enumerate(active.tolist()):
-            h = self.step(gates[current[:n]], h[:n])[0]
-            more = int(active[t + 1]) if t + 1 < len(active) else 0
-            following = np.full(n, END, np.int32)
-            following[:more] = ids[begin[:more] + t]
-            held.append((h, following, np.arange(n)))
-            kept += n
-            if kept >= AT_ONCE:
-                settle()
-            current = following
-        if held:
-            settle()
+        order = np.argsort(-np.diff(first), kind="stable")
+        out, gates = np.zeros(len(order)), self.gates()
+        for a in range(0, len(order), TEXTS):
+            part = order[a : a + TEXTS]
+            out[part] = self._score(ids, first[part], first[part + 1] - first[part], gates)
+        return out
+
+    def _score(self, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, gates: np.ndarray) -> np.ndarray:
+        """score() of texts of which each is as long as the next or longer."""
+        out, h = np.zeros(len(length)), np.zeros((self.hidden, len(length)), np.float32)
+        active = np.searchsorted(-length, -np.arange(int(length[0]) + 1), "right")  # texts with t words or more
+        edge = np.concatenate([[0], np.cumsum(active)])
+        current, t = np.full(len(length), END, np.int32), 0
+        while t < len(active):
+            # steps of about AT_ONCE tokens in all: their words, a step after the other
+            to = max(t + 1, int(np.searchsorted(edge, edge[t] + AT_ONCE, "right")) - 1)
+            at, row = edge[t : to + 1] - edge[t], np.arange(edge[t], edge[to]) - np.repeat(edge[t:to], active[t:to])
+            word = np.repeat(np.arange(t, to), active[t:to])
+            inside = word < length[row]
+            target = np.full(len(row), END, np.int32)
+            target[inside] = ids[(begin[row] + word)[inside]]
+            source = np.concatenate([current[: active[t]], *(target[a : a + n] for a, n in zip(at.tolist(), active[t + 1 : to].tolist()))])
+            x, states = gates.take(source, 0), np.empty((self.hidden, at[-1]), np.float32)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                h = self.step(np.asfortranarray(x[a:b]), h[:, : b - a].T)[0].T
+                states[:, a:b] = h
+            out[: active[t]] += np.bincount(row, self.losses(states.T, target)[0], active[t])
+            current, t = target[at[-2] :], to
         return out
 
 
