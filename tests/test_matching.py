@@ -37,3 +37,18 @@ def test_overlaps_are_those_of_all_pairs_and_shuffle_nothing_but_the_left_side(s
                 assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (right is RIGHT)
     none = matching.overlap_scores(left.limit(0), frame, 0.4)
     assert none.count() == 0 and none.columns == ["l", "r", "shared", "set_union", "sum_least", "sum_greatest"]
+
+
+def test_extractions_compare_sets_of_words_once(spark, tmp_path):
+    from graftwork.plans import snapshots
+
+    names = ("red bolt", "bolt red", "red red bolt", "blue ring", "", None)
+    parts = [(i, names[i % 6], f"B{i % 2}" if i % 17 else None, "LARGE" if i % 3 else "SMALL big", (5, 45, 20, 41, 10)[i % 5]) for i in range(240)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = snapshots.refactor_extract(spark, str(tmp_path))
+    sets = {k: set(f"{n or ''} {t}".lower().split()) for k, n, _, t, _ in parts}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, _, x, t, s in parts for b, _, y, u, z in parts if x is not None and (x, t) == (y, u) and s > 40 and z <= 10}
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, c) for (a, b), c in want.items() if c > 0.8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    compared = next(i for i, line in enumerate(plan) if "array_intersect" in line)
+    assert sum("Aggregate" in line for line in plan[compared:]) >= 2
