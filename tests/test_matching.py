@@ -52,3 +52,31 @@ def test_extractions_compare_sets_of_words_once(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     compared = next(i for i, line in enumerate(plan) if "array_intersect" in line)
     assert sum("Aggregate" in line for line in plan[compared:]) >= 2
+
+
+def test_nearest_sets_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        base = rng.sample(range(400), rng.choice((1, 2, 5, 12, 40)))
+        texts += [(f"w{x}" for x in base), (f"w{x}" for x in base[: max(1, len(base) * 9 // 10)]), (f"w{x}" for x in [*base, *rng.sample(range(400), 1 + len(base) // 5)])]
+    texts = [sorted(set(t)) for t in texts]
+    rows = [(i % 170, "ab"[i % 2] if i % 29 else None, t) for i, t in enumerate(texts + texts[:20] * 3)] + [(None, "a", texts[0]), (500, "a", [])]
+    best = {}
+    for i, x, s in rows:
+        for j, y, t in rows:
+            if None not in (i, j, x, y) and i != j and x == y and s and t:
+                both = len(set(s) & set(t))
+                if both >= 0.7 * (len(s) + len(t) - both):
+                    best[i] = max(best.get(i, (0, 0)), (both / (len(s) + len(t) - both), j))
+    got = matching.nearest_sets(spark.createDataFrame(rows, "id long, bucket string, words array<string>"), 0.7)
+    assert {r.id: (r.similarity, r["match"]) for r in got.collect()} == best
+    assert len(best) > 100
+
+
+def test_copies_make_no_pairs(spark):
+    rows = [(i, "a", ["x", "y", "z"]) for i in range(20_000)] + [(20_000, "a", ["x", "y", "z", "q"])]
+    got = matching.nearest_sets(spark.createDataFrame(rows, "id long, bucket string, words array<string>"), 0.7)
+    assert {r.id: r["match"] for r in got.collect()} == {i: 19_999 if i != 19_999 else 19_998 for i in range(20_001)}
